@@ -3,15 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import table
-from . import components, splitting
+from . import components, encoding, forms, near_duplicates, overlaps, splitting
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.duplicate_files(table(spark, d, "findings"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(table(spark, d, "claim_refs"), "claim_id", "text").select("claim_id", "group_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlaps.split_overlaps(table(spark, d, "rag_items_uk"))
+    return pairs.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "rag_items_uk")
+    return overlaps.overlap_counts(overlaps.split_overlaps(items), items)
+
+
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with its two texts in one form and the kinds of difference each had."""
+    items = table(spark, d, "rag_items_uk").select("id", "question", "answer_span")
+    return forms.consistent(items, ["question", "answer_span"]).distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_kinds").alias("k")) for f in ("question", "answer_span")])
+    return p6_texts(spark, d).select("id", F.explode(kinds).alias("x")).where("x.k > 0").select("id", "x.field").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_pieces(spark, d).where("n_pieces > 1").select("item_kind", "item_id").distinct()
 
@@ -21,9 +47,19 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(items, "text").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p7_found, p7_pieces)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts as their ids decode."""
+    return p8_ids(spark, d).select("doc_id", encoding.decode(F.col("ids")).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_counts, p6_found, p6_texts, p7_found, p7_pieces, p8_ids, p8_decoded)}
 
 SQL = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_found": """
 WITH RECURSIVE e AS (
   SELECT DISTINCT a.doc_id u, b.doc_id v FROM findings
