@@ -3,10 +3,7 @@
 Two texts are similar if the words in common, repeats included, are at least ``share`` of the words of
 the longer one. The k-th repeat of a word in a text is a token of its own, so bags become sets. Tokens
 have one order over the whole corpus, rarest first. A text of n words can lack at most d = n - ceil(share n)
-of its tokens in a partner, so similar texts have at least three of their first d + 3 tokens in common.
-Either one of the common ones is rare, or three frequent ones are: keys are therefore the rare tokens, and
-the triples of frequent tokens, among the first d + 3. No similar pair is lost, and no key of a frequent
-word alone makes a large group.
+of its tokens in a partner, so similar texts have one of their first d + 1 tokens in common.
 """
 
 from __future__ import annotations
@@ -15,7 +12,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -92,21 +88,19 @@ def ordered(tokens: list[int], freq: np.ndarray) -> tuple[list[int], list[int]]:
     return h[order].tolist(), n[order].tolist()
 
 
-def keys(tokens: list[int], counts: list[int], share: float = SHARE) -> list[tuple[int, int]]:
-    """(key, position) of one bag given rarest first; a triple has position -1. Unique tokens need no key."""
-    n = len(tokens)
-    first = min(n, n - common(n, share) + 3)
-    if n < 8:  # three common tokens can't be relied on in a short text
-        return [(tokens[i], i) for i in range(min(n, n - common(n, share) + 1)) if counts[i] > 1]
-    out, often = [], []
-    for i in range(first):
-        if counts[i] > RARE:
-            often.append(tokens[i])
-        elif counts[i] > 1:
-            out.append((tokens[i], i))
-    for a, b, c in combinations(sorted(often), 3):
-        out.append(((a * 3 + b * 5 + c * 7 + (a ^ b ^ c) * 11) & 0x7FFFFFFFFFFFFFFF, -1))
-    return out
+def rare_keys(tokens: list[int], counts: list[int], share: float = SHARE) -> list[tuple[int, int]]:
+    """(token, position) of the rare ones among the first d + 1 tokens of a bag given rarest first.
+
+    Texts with a rare token in common share one of these keys. A unique token needs no key.
+    """
+    first = len(tokens) - common(len(tokens), share) + 1
+    return [(tokens[i], i) for i in range(first) if 1 < counts[i] <= RARE]
+
+
+def frequent_part(tokens: list[int], counts: list[int], share: float = SHARE) -> list[int]:
+    """The frequent tokens of a bag given rarest first; none if so many are rare that partners share a rare one."""
+    rare = sum(c <= RARE for c in counts)
+    return [] if rare > len(tokens) - common(len(tokens), share) else tokens[rare:]
 
 
 def overlap(a: list[str], b: list[str]) -> int:

@@ -1,10 +1,10 @@
 """Problem 8: encode a whole corpus with a byte-level BPE tokenizer, inside Spark's own expressions.
 
-The corpus is cut into words by the tokenizer's pattern. Every distinct word is encoded once: its bytes
-become token ids and a higher-order fold merges the adjacent pair of lowest rank until none is left. The
-ranks are a literal hash table, so a lookup takes constant time (a literal map is searched linearly).
-Frequent words, a bounded number, travel back to the documents as a second literal table; the others
-are joined to the documents that hold them.
+The corpus is cut into words by the tokenizer's pattern. The bytes of a word become token ids and a
+higher-order fold merges the adjacent pair of lowest rank until none is left. The ranks are a literal hash
+table, so a lookup takes constant time (a literal map is searched linearly). The most frequent words of the
+corpus, a bounded number, are folded once and travel to the documents as a second literal table; of the
+others, the distinct ones of each document are folded in place, so that no document is shuffled.
 """
 
 from __future__ import annotations
@@ -14,17 +14,16 @@ import json
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import stage
-
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The words of byte_bpe_50k (fixed value of the tokenizer); (?U) gives \s its Unicode meaning in Java.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words sent to all tasks with their ids; the bound of that literal table.
 FREQUENT_WORDS = 8192
 _NONE = 1 << 20  # above every rank
+_DIRECT = 0x530  # characters with a first state of their own: Latin, Greek, Cyrillic
 _A, _B = (1_000_003, 7_919), (15_485_863, 998_244_353)  # multipliers of the left and right id in the two hash functions
 
 
@@ -100,110 +99,153 @@ def _merged(table: Column, slots: int, a: Column, b: Column) -> Column:
     return _with(pair, probe)
 
 
-def encode_word(word: Column, path: str = BYTE_BPE) -> Column:
-    """Token ids of one word (array of int)."""
+@lru_cache(4)
+def first_state(path: str) -> tuple[list[list[int]], list[list[int]]]:
+    """Token ids that the characters below _DIRECT start with: inside a word, and at its start after a space.
+
+    A character of several bytes starts as one token, if its own merges have lower ranks than any merge across
+    its edges, whatever stands there, so that they would come first anyway. Otherwise it starts as its bytes.
+    """
+    ranks = read_ranks(path)
+    never = _NONE
+    by_first: dict[int, int] = {}  # least rank of a token that starts with the byte and has more
+    by_last: dict[int, int] = {}  # the same for tokens that end with it, after anything but a space
+    for token, r in ranks.items():
+        if len(token) > 1:
+            by_first[token[0]] = min(by_first.get(token[0], never), r)
+            if token[-2] != 0x20:
+                by_last[token[-1]] = min(by_last.get(token[-1], never), r)
+
+    def settle(octets: bytes, spaced: bool) -> list[int]:
+        parts = [octets[i : i + 1] for i in range(len(octets))]
+        while len(parts) > 1:
+            r, k = min((ranks.get(parts[i] + parts[i + 1], never), i) for i in range(len(parts) - 1))
+            # whatever follows may only merge later, and so may whatever precedes
+            across = min(never if spaced else by_last.get(parts[0][0], never), by_first.get(parts[-1][0], never))
+            if r == never or r >= across:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return [ranks[x] for x in parts]
+
+    inside = [settle(chr(c).encode(), False) for c in range(_DIRECT)]
+    spaced = [settle(b" " + chr(c).encode(), True) for c in range(_DIRECT)]
+    return inside, spaced
+
+
+def _tables(path: str) -> tuple[Column, int]:
+    """All literal tables as one struct, and the slots of the rank table."""
     ranks = read_ranks(path)
     table, slots = _rank_table(path)
+    inside, spaced = first_state(path)
     single = [ranks[bytes([i])] for i in range(256)]
+    return F.struct(
+        _literal(table, "array<bigint>").alias("t"), _literal(single, "array<int>").alias("s"),
+        _literal(inside, "array<array<int>>").alias("c"), _literal(spaced, "array<array<int>>").alias("d"),
+    ), slots
 
-    def fold(tables: Column) -> Column:
-        t, singles = tables["t"], tables["s"]
-        hexed = F.hex(F.encode(word, "UTF-8"))
-        n = F.octet_length(word)
-        first = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(singles, F.conv(F.substring(hexed, 2 * i - 1, 2), 16, 10).cast("int")))
-
-        def ranked(ids: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), n - 1), lambda i: _merged(t, slots, F.element_at(ids, i), F.element_at(ids, i + 1)))
-
-        def step(acc: Column, _: Column) -> Column:
-            ids, rank = acc["ids"], acc["rank"]
-
-            def at_least(m: Column) -> Column:
-                def merge(p: Column) -> Column:
-                    left = F.when(p > 1, F.array(_merged(t, slots, F.get(ids, p - 2), m))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(p < F.size(rank), F.array(_merged(t, slots, m, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
-                    far = F.size(ids)
-                    return F.struct(
-                        F.concat(F.slice(ids, 1, p - 1), F.array(m), F.slice(ids, p + 2, far)).alias("ids"),
-                        F.concat(F.slice(rank, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(rank, p + 2, far)).alias("rank"),
-                    )
 
-                return F.when(m < _NONE, _with(F.array_position(rank, m).cast("int"), merge)).otherwise(acc)
+def encode_word(word: Column, tables: Column, slots: int) -> Column:
+    """Token ids of one word (array of int): a fold that merges the adjacent pair of lowest rank, while there is one."""
+    t, singles = tables["t"], tables["s"]
+    nothing = F.array().cast("array<int>")
 
-            return F.when(F.size(rank) == 0, acc).otherwise(_with(F.array_min(rank), at_least))
+    def octets(text: Column) -> Column:
+        hexed = F.hex(F.encode(text, "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.get(singles, F.conv(F.substring(hexed, 2 * i - 1, 2), 16, 10).cast("int")))
 
-        def run(ids: Column) -> Column:
-            start = F.struct(ids.alias("ids"), ranked(ids).alias("rank"))
-            return F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda acc: acc["ids"])
+    def start(chars: Column) -> Column:
+        # every character by its code point; other characters by their bytes
+        one = lambda c: F.coalesce(F.get(tables["c"], F.ascii(c)), octets(c))
+        led = F.get(tables["d"], F.ascii(F.get(chars, F.lit(1))))
+        plain = F.flatten(F.transform(chars, one))
+        after_space = F.concat(led, F.flatten(F.transform(F.slice(chars, 3, F.size(chars)), one)))
+        return F.when((F.size(chars) > 1) & (F.get(chars, F.lit(0)) == " ") & led.isNotNull(), after_space).otherwise(plain)
 
-        return F.when(n > 1, _with(first, run)).otherwise(first)
+    def step(acc: Column, _: Column) -> Column:
+        ids, rank = acc["ids"], acc["rank"]
 
-    tables = F.struct(_literal(table, "array<bigint>").alias("t"), _literal(single, "array<int>").alias("s"))
-    return _with(tables, fold)
+        def at_least(m: Column) -> Column:
+            def merge(p: Column) -> Column:
+                left = F.when(p > 1, F.array(_merged(t, slots, F.get(ids, p - 2), m))).otherwise(nothing)
+                right = F.when(p < F.size(rank), F.array(_merged(t, slots, m, F.get(ids, p + 1)))).otherwise(nothing)
+                far = F.size(ids)
+                return F.struct(
+                    F.concat(F.slice(ids, 1, p - 1), F.array(m), F.slice(ids, p + 2, far)).alias("ids"),
+                    F.concat(F.slice(rank, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(rank, p + 2, far)).alias("rank"),
+                )
 
+            return F.when(m < _NONE, _with(F.array_position(rank, m).cast("int"), merge)).otherwise(acc)
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+        return _with(F.array_min(rank), at_least)
 
+    def run(ids: Column) -> Column:
+        pairs = F.sequence(F.lit(1), F.size(ids) - 1)
+        ranked = F.transform(pairs, lambda i: _merged(t, slots, F.element_at(ids, i), F.element_at(ids, i + 1)))
 
-def vocabulary(df: DataFrame, text: str, path: str = BYTE_BPE) -> DataFrame:
-    """``word, n, ids``: every distinct word, its occurrences and its token ids."""
-    counted = df.select(F.explode(words(F.col(f"`{text}`"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    # all workers take part in the fold, however small the table of words is
-    spread = counted.repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
-    return stage(spread.select("word", "n", encode_word(F.col("word"), path).alias("ids")), "words")
-
-
-def _frequent(vocab: DataFrame, limit: int) -> tuple[Column, int]:
-    """Literal table of the most frequent words, of at most ``limit`` rows, by xxhash64; and its size."""
-    rows = vocab.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(limit).select("word", "ids", F.xxhash64("word").alias("h")).collect()
-    keys, slots = [r.h for r in rows], 4 * len(rows) + 1
-    placed = None
-    while placed is None:
-        placed = cuckoo(keys, slots, lambda k: k % slots, lambda k: (k >> 20) % slots)
-        slots += 0 if placed else 101
-    table = [None if i < 0 else {"w": rows[i].word, "i": rows[i].ids} for i in placed]
-    return _literal(table, "array<struct<w:string,i:array<int>>>"), slots
+        def fold(rank: Column) -> Column:
+            begin = F.struct(ids.alias("ids"), rank.alias("rank"))
+            return F.when(F.array_min(rank) == _NONE, ids).otherwise(F.aggregate(pairs, begin, step, lambda acc: acc["ids"]))
+
+        return F.when(F.size(ids) > 1, _with(ranked, fold)).otherwise(ids)
 
+    return _with(_with(F.split(word, ""), start), run)
 
-def _codes(tokens: Column, table: Column, slots: int) -> Column:
-    """Per word: its ids if it is frequent, else null."""
 
-    def look(w: Column, t: Column) -> Column:
-        def probe(h: Column) -> Column:
-            one, two = F.get(t, F.pmod(h, F.lit(slots)).cast("int")), F.get(t, F.pmod(F.shiftright(h, 20), F.lit(slots)).cast("int"))
-            return F.when(one["w"] == w, one["i"]).when(two["w"] == w, two["i"])
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
-        return _with(F.xxhash64(w), probe)
 
-    return _with(table, lambda t: F.transform(tokens, lambda w: F.struct(w.alias("w"), look(w, t).alias("i"))))
+def frequent_words(df: DataFrame, text: str, path: str = BYTE_BPE, limit: int = FREQUENT_WORDS) -> list[tuple[str, list[int]]]:
+    """The most frequent words of the whole corpus with their ids: at most ``limit`` rows."""
+    counted = df.select(F.explode(words(F.col(f"`{text}`"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = counted.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(limit)
+    tables, slots = _tables(path)
+    return [(r.word, r.ids) for r in top.select("word", _with(tables, lambda x: encode_word(F.col("word"), x, slots)).alias("ids")).collect()]
+
+
+def _by_hash(known: list[tuple[str, list[int]]], spark: SparkSession) -> tuple[Column, int]:
+    """Literal table of words by hash; where two share a slot, the more frequent one has it, the other is folded."""
+    slots = 8 * len(known) + 1
+    frame = spark.createDataFrame(known, "w string, i array<int>").select("w", F.pmod(F.xxhash64("w"), F.lit(slots)).alias("h"))
+    place = {r.w: r.h for r in frame.collect()}
+    table: list = [None] * slots
+    for w, ids in reversed(known):
+        table[place[w]] = {"w": w, "i": ids}
+    return _literal(table, "array<struct<w:string,i:array<int>>>"), slots
 
 
 def encode(df: DataFrame, key: str, text: str, path: str = BYTE_BPE, out: str = "ids", frequent: int = FREQUENT_WORDS) -> DataFrame:
     """``key`` and the token ids of ``text`` (array of int, in ``out``), without special tokens.
 
-    Empty and null texts give an empty list. Rows are told apart by ``key``; repeated rows with the same
-    key and text are kept as they are, null keys included. Other columns are dropped, so their names
-    can't clash. An empty table gives an empty table.
+    Empty and null texts give an empty list. Repeated rows are kept as they are, null keys included. Other
+    columns are dropped, so their names can't clash. An empty table gives an empty table.
     """
-    base = df.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t"))
-    vocab = vocabulary(base, "_t", path)
-    table, slots = _frequent(vocab, frequent)
-    looked = base.select("_k", _codes(words(F.coalesce("_t", F.lit(""))), table, slots).alias("_w"))
-    # frequent words as their ids; a place of any other word as a negative number that refers to _rare
-    rare = F.array_distinct(F.transform(F.filter("_w", lambda x: x["i"].isNull()), lambda x: x["w"]))
-    marked = looked.select("_k", "_w", rare.alias("_rare")).select(
-        "_k", "_rare", F.flatten(F.transform("_w", lambda x: F.coalesce(x["i"], F.array(-F.array_position("_rare", x["w"]).cast("int"))))).alias("_flat")
-    )
-    codes = stage(marked, "codes")
-    found = codes.select("_k", F.explode("_rare").alias("word")).distinct().join(vocab.select("word", "ids"), "word")
-    held = found.groupBy("_k").agg(F.collect_list(F.struct("word", "ids")).alias("_found"))
-    held = held.withColumnRenamed("_k", "_hk")
-    joined = codes.join(held, F.col("_k").eqNullSafe(F.col("_hk")), "left")
-    ids_of = F.transform("_rare", lambda w: F.element_at(F.filter("_found", lambda f: f["word"] == w), 1)["ids"])
-    full = joined.select("_k", "_flat", F.when(F.size("_rare") > 0, ids_of).alias("_ids"))
-    whole = F.when(F.col("_ids").isNull(), F.col("_flat")).otherwise(F.flatten(F.transform("_flat", lambda c: F.when(c < 0, F.get("_ids", -c - 1)).otherwise(F.array(c)))))
-    return full.select(F.col("_k").alias(key), whole.alias(out))
+    base = df.select(F.col(f"`{key}`").alias("_k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    known, size = _by_hash(frequent_words(base, "_t", path, frequent), df.sparkSession)
+    tables, slots = _tables(path)
+
+    def ids(all_tables: Column) -> Column:
+        k, x = all_tables["k"], all_tables["x"]
+
+        def look(w: Column) -> Column:
+            return _with(F.get(k, F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), lambda e: F.when(e["w"] == w, e["i"]))
+
+        def joined(tokens: Column) -> Column:
+            def with_found(found: Column) -> Column:
+                def with_rare(rare: Column) -> Column:
+                    return _with(
+                        F.transform(rare, lambda w: encode_word(w, x, slots)),
+                        lambda folded: F.flatten(F.transform(tokens, lambda w, i: F.coalesce(F.get(found, i), F.get(folded, F.array_position(rare, w).cast("int") - 1)))),
+                    )
+
+                return _with(F.array_distinct(F.filter(tokens, lambda w, i: F.get(found, i).isNull())), with_rare)
+
+            return _with(F.transform(tokens, look), with_found)
+
+        return _with(words(F.col("_t")), joined)
+
+    every = F.struct(known.alias("k"), tables.alias("x"))
+    return base.select(F.col("_k").alias(key), _with(every, ids).alias(out))
 
 
 def decode(ids: Column, path: str = BYTE_BPE) -> Column:

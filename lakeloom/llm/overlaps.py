@@ -2,16 +2,17 @@
 
 The words of an item, in the order rarest first, are a string over words; in that order the longest common
 subsequence of two strings is what their bags have in common, and a + b - 2 * common is their edit distance
-by insertions and deletions. An evaluation string that may lose d words is cut into segments: its first words,
-one each where a word is rare, three frequent ones together else, so many that one of them survives. They
-are matched with the segments of training strings at positions that d deletions and insertions allow,
-and verified with a dynamic program within the band. Segments of equal length over the whole string
-would mostly hold frequent words alone and match everywhere.
+by insertions and deletions. An evaluation string that may lose d words is cut into d + 1 segments, so that one
+survives: the first d words, one each, and the rest, of which the first word stands for it, as the rest is only
+unbroken if that word is. Segments are matched with the words of training strings at positions that d deletions
+and insertions allow, and verified with a dynamic program within the band. Segments of equal length would mostly
+hold frequent words alone and match everywhere; the first words are the rarest ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,25 @@ def _texts(columns: dict) -> list[str]:
     return pc.binary_join_element_wise(q.fill_null(""), a.fill_null(""), "\n").to_pylist()
 
 
+def _segments(tokens: list[int], counts: list[int], share: float) -> list[tuple[int, int]]:
+    """(word, position) of the first d + 1 words. A frequent word as the first one in common means that all before
+    it differ, so it is joined to the next frequent ones that must be in common too, in every combination.
+
+    Of the first d + 1 + m words m + 1 are in common; if none of them is rare, they are m + 1 frequent ones.
+    """
+    n = len(tokens)
+    lose = n - bags.common(n, share)
+    more = min(2, n - lose - 1)
+    first = lose + 1 + more
+    out = [(tokens[i], i) for i in range(first) if 1 < counts[i] <= bags.RARE]
+    often = sorted(tokens[i] for i in range(first) if counts[i] > bags.RARE)
+    if more == 2:
+        out += [((a * 3 + b * 5 + c * 7 + (a ^ b ^ c) * 11) & 0x7FFFFFFFFFFFFFFF, -1) for a, b, c in combinations(often, 3)]
+    else:  # texts of up to three words
+        out += [(tokens[i], i) for i in range(lose + 1) if counts[i] > bags.RARE]
+    return out
+
+
 def _strings(items: DataFrame, freq: np.ndarray, share: float) -> DataFrame:
     """``id, split, string, segs`` of every item with a word."""
     shipped = items.sparkSession.sparkContext.broadcast(freq)  # BUCKETS numbers at most
@@ -68,7 +88,7 @@ def _strings(items: DataFrame, freq: np.ndarray, share: float) -> DataFrame:
                 if found:
                     tokens, counts = bags.ordered(hashed(found), freq)
                     ids.append(i), splits.append(s), strings.append(tokens)
-                    segs.append([{"k": k, "p": p} for k, p in bags.keys(tokens, counts, share)])
+                    segs.append([{"k": k, "p": p} for k, p in _segments(tokens, counts, share)])
             kind = pa.list_(pa.struct([("k", pa.int64()), ("p", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(splits, pa.string()), pa.array(strings, pa.list_(pa.int64())), pa.array(segs, kind)], names=["id", "split", "string", "segs"])
 

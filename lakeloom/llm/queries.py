@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import components, encoding, forms, mojibake, near_duplicates, overlaps, splitting
+from . import components, encoding, forms, mixing, mojibake, near_duplicates, overlaps, splitting
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +56,14 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return p8_ids(spark, d).select("doc_id", encoding.decode(F.col("ids")).alias("text"))
 
 
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text")
 
@@ -64,7 +72,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_counts, p6_found, p6_texts, p7_found, p7_pieces, p8_ids, p8_decoded, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_counts, p6_found, p6_texts, p7_found, p7_pieces, p8_ids, p8_decoded, p9_selection, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
