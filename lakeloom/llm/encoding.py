@@ -21,10 +21,10 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The words of byte_bpe_50k (fixed value of the tokenizer); (?U) gives \s its Unicode meaning in Java.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words sent to all tasks with their ids; the bound of that literal table.
-FREQUENT_WORDS = 8192
+FREQUENT_WORDS = 32768
 _NONE = 1 << 20  # above every rank
 _DIRECT = 0x530  # characters with a first state of their own: Latin, Greek, Cyrillic
-_A, _B = (1_000_003, 7_919), (15_485_863, 998_244_353)  # multipliers of the left and right id in the two hash functions
+_BUCKETS = 65537  # of the rank table
 
 
 @lru_cache(4)
@@ -44,36 +44,18 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
-def cuckoo(keys: list[int], slots: int, h1: Callable[[int], int], h2: Callable[[int], int]) -> list[int] | None:
-    """Place every key in one of its two slots; the result has the index of the key, or -1. None if impossible."""
-    table = [-1] * slots
-    for i in range(len(keys)):
-        at, held = h1(keys[i]), i
-        for _ in range(500):
-            held, table[at] = table[at], held
-            if held < 0:
-                break
-            a, b = h1(keys[held]), h2(keys[held])
-            at = b if at == a else a
-        else:
-            return None
-    return table
-
-
-def _slot(a, b, by: tuple[int, int], slots: int):
-    """Slot of the pair (a, b), of numbers or columns."""
-    return (a * by[0] + b * by[1]) % slots
-
-
 @lru_cache(4)
-def _rank_table(path: str) -> tuple[list[int], int]:
-    pairs = pair_ranks(read_ranks(path))
-    keys, slots = list(pairs), 2 * len(pairs) + 1
-    while True:
-        placed = cuckoo(keys, slots, lambda k: _slot(k >> 16, k & 65535, _A, slots), lambda k: _slot(k >> 16, k & 65535, _B, slots))
-        if placed:
-            return [-1 if i < 0 else keys[i] << 16 | pairs[keys[i]] for i in placed], slots
-        slots += 1009
+def _rank_table(path: str) -> list[dict[str, int] | None]:
+    """Hash table of the mergeable pairs: in bucket (31 a + b) mod BUCKETS, the id of the token by b.
+
+    b alone tells the pairs of a bucket apart, as equal b and bucket mean equal a (BUCKETS is a prime above every id).
+    """
+    out: list[dict[str, int] | None] = [None] * _BUCKETS
+    for pair, i in pair_ranks(read_ranks(path)).items():
+        a, b = pair >> 16, pair & 65535
+        at = (31 * a + b) % _BUCKETS
+        out[at] = (out[at] or {}) | {str(b): i}
+    return out
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -86,17 +68,9 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _merged(table: Column, slots: int, a: Column, b: Column) -> Column:
-    """Id of the token that ``a`` and ``b`` merge into, or _NONE. A pair's rank is the id of its token."""
-    pair = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
-
-    def probe(p: Column) -> Column:
-        k = p["a"] * 65536 + p["b"]
-        one, two = (F.get(table, _slot(p["a"], p["b"], by, slots).cast("int")) for by in (_A, _B))
-        hit = lambda e: F.shiftright(e, 16) == k
-        return F.when(hit(one), one.bitwiseAND(F.lit(65535))).when(hit(two), two.bitwiseAND(F.lit(65535))).otherwise(F.lit(_NONE)).cast("int")
-
-    return _with(pair, probe)
+def _merged(table: Column, a: Column, b: Column) -> Column:
+    """Id of the token that ``a`` and ``b`` merge into; null if they don't. A pair's rank is that id."""
+    return F.try_element_at(F.get(table, (a * 31 + b) % _BUCKETS), b)
 
 
 @lru_cache(4)
@@ -132,22 +106,28 @@ def first_state(path: str) -> tuple[list[list[int]], list[list[int]]]:
     return inside, spaced
 
 
-def _tables(path: str) -> tuple[Column, int]:
-    """All literal tables as one struct, and the slots of the rank table."""
+def _tables(path: str) -> Column:
+    """All literal tables as one struct."""
     ranks = read_ranks(path)
-    table, slots = _rank_table(path)
     inside, spaced = first_state(path)
     single = [ranks[bytes([i])] for i in range(256)]
     return F.struct(
-        _literal(table, "array<bigint>").alias("t"), _literal(single, "array<int>").alias("s"),
+        _literal(_rank_table(path), "array<map<string,int>>").cast("array<map<int,int>>").alias("t"), _literal(single, "array<int>").alias("s"),
         _literal(inside, "array<array<int>>").alias("c"), _literal(spaced, "array<array<int>>").alias("d"),
-    ), slots
+    )
+
+
+def _done(rank: Column) -> Column:
+    return F.array_min(rank).isNull()
+
+
+def _times(n: int) -> Column:
+    return F.lit([0] * n)
 
 
-def encode_word(word: Column, tables: Column, slots: int) -> Column:
+def encode_word(word: Column, tables: Column) -> Column:
     """Token ids of one word (array of int): a fold that merges the adjacent pair of lowest rank, while there is one."""
     t, singles = tables["t"], tables["s"]
-    nothing = F.array().cast("array<int>")
 
     def octets(text: Column) -> Column:
         hexed = F.hex(F.encode(text, "UTF-8"))
@@ -164,27 +144,27 @@ def encode_word(word: Column, tables: Column, slots: int) -> Column:
     def step(acc: Column, _: Column) -> Column:
         ids, rank = acc["ids"], acc["rank"]
 
-        def at_least(m: Column) -> Column:
+        def merge_lowest(m: Column) -> Column:
             def merge(p: Column) -> Column:
-                left = F.when(p > 1, F.array(_merged(t, slots, F.get(ids, p - 2), m))).otherwise(nothing)
-                right = F.when(p < F.size(rank), F.array(_merged(t, slots, m, F.get(ids, p + 1)))).otherwise(nothing)
                 far = F.size(ids)
-                return F.struct(
-                    F.concat(F.slice(ids, 1, p - 1), F.array(m), F.slice(ids, p + 2, far)).alias("ids"),
-                    F.concat(F.slice(rank, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(rank, p + 2, far)).alias("rank"),
-                )
+                right = F.array(_merged(t, m, F.get(ids, p + 1)))
+                before = F.when(p > 1, F.concat(F.slice(rank, 1, p - 2), F.array(_merged(t, F.get(ids, p - 2), m)), right)).otherwise(right)
+                return F.struct(F.concat(F.slice(ids, 1, p - 1), F.array(m), F.slice(ids, p + 2, far)).alias("ids"), F.concat(before, F.slice(rank, p + 2, far)).alias("rank"))
 
-            return F.when(m < _NONE, _with(F.array_position(rank, m).cast("int"), merge)).otherwise(acc)
+            return _with(F.array_position(rank, m).cast("int"), merge)
 
-        return _with(F.array_min(rank), at_least)
+        return F.when(_done(rank), acc).otherwise(_with(F.array_min(rank), merge_lowest))
 
     def run(ids: Column) -> Column:
-        pairs = F.sequence(F.lit(1), F.size(ids) - 1)
-        ranked = F.transform(pairs, lambda i: _merged(t, slots, F.element_at(ids, i), F.element_at(ids, i + 1)))
+        # rank i belongs to the pair that begins at i; the last one has none
+        ranked = F.transform(ids, lambda a, i: _merged(t, a, F.get(ids, i + 1)))
 
         def fold(rank: Column) -> Column:
             begin = F.struct(ids.alias("ids"), rank.alias("rank"))
-            return F.when(F.array_min(rank) == _NONE, ids).otherwise(F.aggregate(pairs, begin, step, lambda acc: acc["ids"]))
+            # most words take a few merges: a short fold, a longer one, and one that surely is long enough
+            rest = lambda acc: F.aggregate(ids, acc, step, lambda x: x["ids"])
+            longer = lambda acc: F.when(_done(acc["rank"]), acc["ids"]).otherwise(F.aggregate(_times(6), acc, step, lambda x: F.when(_done(x["rank"]), x["ids"]).otherwise(rest(x))))
+            return F.when(_done(rank), ids).otherwise(F.aggregate(_times(3), begin, step, longer))
 
         return F.when(F.size(ids) > 1, _with(ranked, fold)).otherwise(ids)
 
@@ -199,13 +179,13 @@ def frequent_words(df: DataFrame, text: str, path: str = BYTE_BPE, limit: int =
     """The most frequent words of the whole corpus with their ids: at most ``limit`` rows."""
     counted = df.select(F.explode(words(F.col(f"`{text}`"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = counted.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(limit)
-    tables, slots = _tables(path)
-    return [(r.word, r.ids) for r in top.select("word", _with(tables, lambda x: encode_word(F.col("word"), x, slots)).alias("ids")).collect()]
+    tables = _tables(path)
+    return [(r.word, r.ids) for r in top.select("word", _with(tables, lambda x: encode_word(F.col("word"), x)).alias("ids")).collect()]
 
 
 def _by_hash(known: list[tuple[str, list[int]]], spark: SparkSession) -> tuple[Column, int]:
     """Literal table of words by hash; where two share a slot, the more frequent one has it, the other is folded."""
-    slots = 8 * len(known) + 1
+    slots = 4 * len(known) + 1
     frame = spark.createDataFrame(known, "w string, i array<int>").select("w", F.pmod(F.xxhash64("w"), F.lit(slots)).alias("h"))
     place = {r.w: r.h for r in frame.collect()}
     table: list = [None] * slots
@@ -222,19 +202,20 @@ def encode(df: DataFrame, key: str, text: str, path: str = BYTE_BPE, out: str =
     """
     base = df.select(F.col(f"`{key}`").alias("_k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     known, size = _by_hash(frequent_words(base, "_t", path, frequent), df.sparkSession)
-    tables, slots = _tables(path)
+    tables = _tables(path)
 
     def ids(all_tables: Column) -> Column:
         k, x = all_tables["k"], all_tables["x"]
 
         def look(w: Column) -> Column:
-            return _with(F.get(k, F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), lambda e: F.when(e["w"] == w, e["i"]))
+            e = F.get(k, F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+            return F.when(e["w"] == w, e["i"])
 
         def joined(tokens: Column) -> Column:
             def with_found(found: Column) -> Column:
                 def with_rare(rare: Column) -> Column:
                     return _with(
-                        F.transform(rare, lambda w: encode_word(w, x, slots)),
+                        F.transform(rare, lambda w: encode_word(w, x)),
                         lambda folded: F.flatten(F.transform(tokens, lambda w, i: F.coalesce(F.get(found, i), F.get(folded, F.array_position(rare, w).cast("int") - 1)))),
                     )
 

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import components, encoding, forms, mixing, mojibake, near_duplicates, overlaps, splitting
+from . import components, encoding, forms, mixing, mojibake, near_duplicates, overlaps, pairs, splitting
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "grounded_drafts")).distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,8 +22,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = overlaps.split_overlaps(table(spark, d, "rag_items_uk"))
-    return pairs.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+    found = overlaps.split_overlaps(table(spark, d, "rag_items_uk"))
+    return found.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +76,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_counts, p6_found, p6_texts, p7_found, p7_pieces, p8_ids, p8_decoded, p9_selection, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_counts, p6_found, p6_texts, p7_found, p7_pieces, p8_ids, p8_decoded, p9_selection, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
