@@ -155,7 +155,7 @@ def is_truncated(answer: str, quote: str | None) -> bool:
     if not found:
         return False
     last = found[-1]
-    if last in _CONNECTORS and not (len(last) == 1 and re.search(r"[\d\-–]\s*\w$", text)):
+    if last in _CONNECTORS or (last.islower() and len(last) < 4 and last != "грн" and not re.search(r"[аеєиіїоуюяaeiouy\d]", last)):
         return True
     have = tokens(quote or "")
     if last in have or not have or last.isdigit():
