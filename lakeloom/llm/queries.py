@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import components, encoding, forms, mixing, mojibake, near_duplicates, overlaps, pairs, splitting
+from . import components, encoding, forms, mixing, mojibake, near_duplicates, overlaps, pairs, scans, splitting
+
+
+def p1_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The running text of every page and what was wrong with it."""
+    return scans.repair(table(spark, d, "pdf_pages")).distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "pdf_pages")).select("page_id", F.explode("noise").alias("noise")).distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +85,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_counts, p6_found, p6_texts, p7_found, p7_pieces, p8_ids, p8_decoded, p9_selection, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p3_found, p4_found, p5_found, p5_counts, p6_found, p6_texts, p7_found, p7_pieces, p8_ids, p8_decoded, p9_selection, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
