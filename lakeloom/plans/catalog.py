@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from . import corpus_queries
+
+FLAGSHIP = "governed_claims"
+QUERIES: dict = {**corpus_queries.QUERIES}
+SQL: dict = {**corpus_queries.SQL}
