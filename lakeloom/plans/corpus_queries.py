@@ -66,11 +66,10 @@ def front_matter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) t, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) i FROM documents WHERE source = 'helpdesk_chat' AND text IS NOT NULL)
-SELECT doc_id, i - 1 AS turn, regexp_extract(t, '^([^:]{1,20}): (.*)$', 1) AS speaker, length(regexp_extract(t, '^([^:]{1,20}): (.*)$', 2)) AS n_chars FROM l WHERE regexp_matches(t, '^[^:]{1,20}: ')""")
+SELECT doc_id, i - 1 AS turn, regexp_extract(t, '^([^:]{1,20}): ', 1) AS speaker, length(t) - length(regexp_extract(t, '^([^:]{1,20}): ', 0)) AS n_chars FROM l WHERE regexp_matches(t, '^[^:]{1,20}: ')""")
 def chat_turns(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").where("source = 'helpdesk_chat'").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("turn", "t"))
-    part = r"^([^:]{1,20}): (.*)$"
-    return lines.where(F.col("t").rlike("^[^:]{1,20}: ")).select("doc_id", F.col("turn").cast("long").alias("turn"), F.regexp_extract("t", part, 1).alias("speaker"), F.length(F.regexp_extract("t", part, 2)).cast("long").alias("n_chars"))
+    return lines.where(F.col("t").rlike("^[^:]{1,20}: ")).select("doc_id", F.col("turn").cast("long").alias("turn"), F.regexp_extract("t", "^([^:]{1,20}): ", 1).alias("speaker"), (F.length("t") - F.length(F.regexp_extract("t", "^([^:]{1,20}): ", 0))).cast("long").alias("n_chars"))
 
 
 # ---- scalar scoring
