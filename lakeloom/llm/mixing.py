@@ -96,7 +96,7 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: s
         mine = [g for (x, _), g in goals.items() if x == m]
         common = sum(g["target"] for g in mine) / max(sum(g["have"] for g in mine), 1)
         for g in mine:  # the common rate every rate starts from
-            g["rate"] = min(max(common, 1e-6), max(g["repeats"], 1e-6))
+            g["rate"] = float(min(max(common, 1e-6), max(g["repeats"], 1e-6)))
     histogram = stage(used.groupBy("source", "tokens").agg(F.count("*").alias("n")), "histogram")
 
     def params(slopes: dict[tuple[str, str], float]) -> DataFrame:
