@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, graph, ranking, spans, stats
+from ..functions.chunking import chunked
+from ..operators import dedup, graph, linkage, ranking, spans, stats
 from ..tables import table
 
 QUERIES: dict = {}
@@ -442,3 +443,91 @@ def hourly_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.windows import windowed_counts  # noqa: PLC0415
 
     return windowed_counts(spark, f"{d}/events.parquet", "ts", "1 hour", "event_type", "value")
+
+
+# ---- further operators
+
+
+@query("""
+WITH f AS (SELECT DISTINCT finding_id, a.doc_id AS doc_id, a.char_start AS at FROM findings), c AS (SELECT DISTINCT claim_id, doc_id, char_start FROM claim_refs),
+m AS (SELECT f.finding_id, c.claim_id, row_number() OVER (PARTITION BY f.finding_id ORDER BY c.char_start DESC, c.claim_id DESC) r FROM f LEFT JOIN c ON c.doc_id = f.doc_id AND c.char_start <= f.at)
+SELECT finding_id, claim_id FROM m WHERE r = 1""")
+def preceding_claims(spark: SparkSession, d: str) -> DataFrame:
+    """As-of match: the claim that begins last at or before each finding's span."""
+    f = table(spark, d, "findings").select("finding_id", "a.doc_id", F.col("a.char_start").alias("at")).distinct()
+    c = table(spark, d, "claim_refs").select("claim_id", "doc_id", F.col("char_start").alias("at")).distinct()
+    return linkage.as_of(f, c, "doc_id", "at", "finding_id", "claim_id")
+
+
+@query("""
+WITH m AS (SELECT doc_id, source_system s, version v, acl_label a, language l, effective_date e FROM corpus_manifest WHERE language IS NOT NULL AND effective_date IS NOT NULL),
+p AS (SELECT x.doc_id left_id, y.doc_id right_id, log2(0.2 / 0.8)
+ + CASE WHEN x.v IS NULL OR y.v IS NULL THEN 0 WHEN x.v = y.v THEN log2(0.9 / 0.1) ELSE log2(0.1 / 0.9) END
+ + CASE WHEN x.s IS NULL OR y.s IS NULL THEN 0 WHEN x.s = y.s THEN log2(0.8 / 0.2) ELSE log2(0.2 / 0.8) END
+ + CASE WHEN x.a IS NULL OR y.a IS NULL THEN 0 WHEN x.a = y.a THEN log2(0.7 / 0.3) ELSE log2(0.3 / 0.7) END w FROM m x JOIN m y ON x.l = y.l AND x.e = y.e AND x.doc_id < y.doc_id)
+SELECT left_id, right_id, round(w, 6) AS match_weight, round(pow(2, round(w, 6)) / (1 + pow(2, round(w, 6))), 9) AS match_probability FROM p WHERE round(pow(2, round(w, 6)) / (1 + pow(2, round(w, 6))), 9) >= 0.02""")
+def linked_manifests(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "corpus_manifest")
+    fields = {"version": (F.col("version"), 0.9, 0.1), "source": (F.col("source_system"), 0.8, 0.2), "acl": (F.col("acl_label"), 0.7, 0.3)}
+    return linkage.linked_pairs(m, "doc_id", [F.col("language"), F.col("effective_date")], fields, 0.02, 0.2)
+
+
+@query(f"""
+WITH d AS (SELECT DISTINCT id, reference_answer a, {_tok("quote")} q FROM grounded_drafts WHERE reference_answer IS NOT NULL),
+c AS (SELECT id, q, unnest(regexp_split_to_array(a, '[.!?;…\n]+')) c FROM d), t AS (SELECT id, q, {_tok("c")} t FROM c),
+s AS (SELECT id, len(list_filter(t, lambda x: list_contains(q, x))) >= 0.6 * len(t) ok FROM t WHERE len(t) >= 2)
+SELECT id, count(*) AS claims, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END), 9) AS grounded FROM s GROUP BY id""")
+def groundedness(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "grounded_drafts").where("reference_answer is not null").select("id", "reference_answer", "quote").distinct()
+    t = rows.select("id", T.tokens(F.col("quote")).alias("q"), F.explode(F.split("reference_answer", "[.!?;…\n]+")).alias("c")).select("id", "q", T.tokens(F.col("c")).alias("t")).where("size(t) >= 2")
+    ok = F.size(F.filter("t", lambda x: F.array_contains("q", x))) >= 0.6 * F.size("t")
+    return t.groupBy("id").agg(F.count("*").alias("claims"), F.round(F.avg(ok.cast("double")), 9).alias("grounded"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 i, count(*) OVER () n FROM events),
+p AS (SELECT CAST(floor(k.range * (SELECT count(*) FROM events) / 100.0) AS BIGINT) i FROM range(100) k)
+SELECT event_id FROM r WHERE i IN (SELECT i FROM p)""")
+def spread_events(spark: SparkSession, d: str) -> DataFrame:
+    """A sampling operator: 100 events at even distances in order of time. Positions come from a sort by ranges, not one task."""
+    from ..operators.sampling import evenly_spread  # noqa: PLC0415
+
+    return evenly_spread(table(spark, d, "events"), ["ts", "event_id"], 100).select("event_id")
+
+
+@query("""
+SELECT doc_id, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'calibration' ELSE 'final' END AS split FROM (SELECT doc_id, CAST('0x' || substr(md5('7:' || doc_id), 1, 8) AS BIGINT) % 100 h FROM documents)""")
+def hashed_split(spark: SparkSession, d: str) -> DataFrame:
+    h = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(100))
+    return table(spark, d, "documents").select("doc_id", F.when(h < 80, "train").when(h < 90, "calibration").otherwise("final").alias("split"))
+
+
+@query("""
+SELECT source, round(0.5 * sum(CASE WHEN lang = 'uk' THEN 1 ELSE 0 END) / count(*) + 0.3 * sum(CASE WHEN n_chars > 500 THEN 1 ELSE 0 END) / count(*) + 0.2 * count(path) / count(*), 9) AS composite
+FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= 3""")
+def source_composite(spark: SparkSession, d: str) -> DataFrame:
+    """A weighted mean of shares per source; sources with fewer than three documents don't qualify."""
+    n = F.count("*")
+    score = 0.5 * F.count_if(F.col("lang") == "uk") / n + 0.3 * F.count_if(F.col("n_chars") > 500) / n + 0.2 * F.count("path") / n
+    return table(spark, d, "documents").where("source is not null").groupBy("source").agg(n.alias("n"), F.round(score, 9).alias("composite")).where("n >= 3").drop("n")
+
+
+@query(f"""
+WITH s AS (SELECT id, token_recall, token_f1, contained FROM ({SQL["answer_scores"]})), f AS (SELECT id, max(CASE WHEN refusal THEN 1 ELSE 0 END) r FROM ({SQL["question_flags"]}) GROUP BY 1)
+SELECT id, CASE WHEN r = 1 THEN 'refusal' WHEN contained THEN 'grounded' WHEN token_f1 > 0.3 THEN 'partial' ELSE 'generation' END AS outcome FROM s JOIN f USING (id)""")
+def case_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """One outcome per answer, by precedence."""
+    flags = question_flags(spark, d).groupBy("id").agg(F.max("refusal").alias("r"))
+    return answer_scores(spark, d).join(flags, "id").select("id", F.when(F.col("r"), "refusal").when(F.col("contained"), "grounded").when(F.col("token_f1") > 0.3, "partial").otherwise("generation").alias("outcome"))
+
+
+def _chunks(strategy: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return chunked(table(spark, d, "documents"), "doc_id", "text", strategy).drop("text")
+
+    run.__name__ = f"{strategy}_chunks"
+    return run
+
+
+for _s in ("sentence", "recursive", "markdown", "table"):
+    QUERIES[f"{_s}_chunks"] = _chunks(_s)
