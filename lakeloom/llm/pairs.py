@@ -44,6 +44,8 @@ _CONNECTORS = set(
     "и с из от об под между после или но что который которая чтобы поскольку если когда "
     "the a an of to for from in on at by with and or but that which so as near after before under within because if when plus such according including".split()
 )
+# fixed values: words of a date, which a quote need not have
+_DATE_WORDS = "січня лютого березня квітня травня червня липня серпня вересня жовтня листопада грудня станом року january february march april june july august september october november december".split()
 # fixed values: function words by language
 _FUNCTION = {
     "en": set("the of and to in a is that for it on with as was by at from are this be which not isn’t isn't has have before after within don’t don't than because near plus group".split()),
@@ -160,6 +162,8 @@ def is_truncated(answer: str, quote: str | None) -> bool:
     have = tokens(quote or "")
     if last in have or not have or last.isdigit():
         return False
+    if last.islower() and any(w.startswith(last) and w != last for w in _DATE_WORDS):
+        return True
     before = found[-2] if len(found) > 1 else None
     return any(w.startswith(last) and w != last and (i == 0 or before is None or have[i - 1] == before) for i, w in enumerate(have))
 
