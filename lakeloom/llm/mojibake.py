@@ -24,13 +24,15 @@ from .forms import code_points
 #: Characters with statistics of their own, the most frequent ones; all others share one entry. Bounds the table.
 ALPHABET = 1024
 #: Information of a pair, in nats, above which it counts for a run; least score of a run.
-LEVEL, LEAST_RUN = 9.2, 4.0
+LEVEL, LEAST_RUN = 9.0, 4.0
 #: Gain in nats that an inverse mapping must bring, if the bytes form UTF-8 (which is evidence in itself) or not.
 GAIN_UTF8, GAIN_BYTES = 3.0, 12.0
 #: The same for single words of a text in which the mapping has been accepted already.
 GAIN_AGAIN = 1.0
 #: Mean information of a pair that a restored run may have at most, by the same distinction; ordinary text has about 6.
-ORDINARY, ORDINARY_UTF8 = 8.8, 10.8
+ORDINARY, ORDINARY_UTF8 = 9.5, 10.8
+#: Information added to pairs with a C1 control.
+C1 = 3.0
 ROUNDS = 3
 # fixed values: encodings that texts were wrongly decoded with, and right ones
 _WRONG = ("cp1252", "cp1251", "cp866", "koi8_u", "mac_roman", "cp1250", "cp437")
@@ -67,6 +69,9 @@ class Model:
         self.size = len(chars) + 1
         total = max(counts.sum(), 1.0)
         self.info = -np.log((counts + 0.1) / total).astype(np.float32)
+        control = np.flatnonzero((chars >= 0x80) & (chars < 0xA0)) + 1  # no text has C1 controls, however many garbled ones do
+        self.info[control, :] += C1
+        self.info[:, control] += C1
 
     def pairs(self, cp: np.ndarray) -> np.ndarray:
         i = self.index[cp]
