@@ -37,10 +37,14 @@ def duplicate_key(text: Column, tier: str) -> Column:
 
 def shingles(text: Column, width: int = 5) -> Column:
     """Distinct runs of ``width`` tokens; a shorter text is one shingle, a text without tokens has none."""
-    words = tokens(text)
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, width)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, width)))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+
+    # the tokens are bound to a variable, so that they are computed once and not for every run
+    return F.element_at(F.transform(F.array(tokens(text)), runs), 1)
 
 
 def fixed_spans(text: Column, size: int, overlap: int) -> Column:
