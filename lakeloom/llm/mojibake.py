@@ -2,7 +2,9 @@
 
 Adjacent characters are scored with corpus statistics: the mutual information of the pair together with
 the information of its two characters, which is minus the logarithm of the pair's share. Maximum-scoring
-segments of that score, less a level that ordinary text stays below, are the improbable runs. Inverse
+segments of that score, less a level that ordinary text stays below, are the improbable runs. So that a large
+garbled group doesn't make itself ordinary, words that an inverse mapping makes far more probable, by the
+statistics of all texts, are taken out of the statistics first. Inverse
 mappings (encode with the wrong encoding, decode with the right one) are tested inside those runs only, and
 one is accepted if it makes the run much more probable. Runs with replacement characters can't be restored
 but are found all the same.
@@ -11,6 +13,7 @@ but are found all the same.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +37,17 @@ ORDINARY, ORDINARY_UTF8 = 9.5, 10.8
 #: Information added to pairs with a C1 control.
 C1 = 3.0
 ROUNDS = 3
+#: A word leaves the statistics if a single-byte mapping changes so many characters, gains so much a pair and leaves at most so much a pair.
+CHANGED, GAIN_PAIR, PLAIN = 4, 0.3, 7.5
+#: Share of the characters beyond ASCII that must be UTF-8 sequences for a word to leave the statistics.
+DECODED = 0.7
 # fixed values: encodings that texts were wrongly decoded with, and right ones
 _WRONG = ("cp1252", "cp1251", "cp866", "koi8_u", "mac_roman", "cp1250", "cp437")
 _RIGHT = ("utf_8", "cp1251", "koi8_u", "cp866", "cp1250", "cp1252")
 LOST = "�"
 _SPACE = re.compile(r"([ \n\t\r]+)")
+#: Words whose verdict a task keeps.
+KNOWN = 500_000
 
 
 @lru_cache(1)
@@ -60,13 +69,33 @@ def _codecs() -> tuple[dict[str, dict[str, int]], dict[tuple[str, str], dict[int
     return to_byte, maps
 
 
+@lru_cache(1)
+def _sequences() -> list[tuple[str, re.Pattern[str]]]:
+    """By wrong encoding, what UTF-8 sequences look like in it; a lost byte may stand among those that continue."""
+
+    def one_of(to_byte: dict[str, int], lo: int, hi: int, more: str = "") -> str:
+        return "[" + re.escape("".join(c for c, b in to_byte.items() if lo <= b < hi) + more) + "]"
+
+    out = []
+    for name, to_byte in _codecs()[0].items():
+        go_on = one_of(to_byte, 0x80, 0xC0, LOST)
+        leads = (one_of(to_byte, 0xC2, 0xE0), one_of(to_byte, 0xE0, 0xF0), one_of(to_byte, 0xF0, 0xF5))
+        out.append((name, re.compile("|".join(f"{x}{go_on}{{{k}}}" for k, x in enumerate(leads, 1)))))
+    return out
+
+
+@lru_cache(1)
+def _any_sequence() -> re.Pattern[str]:
+    return re.compile("|".join(sequence.pattern for _, sequence in _sequences()))
+
+
 class Model:
     """Information of adjacent characters."""
 
     def __init__(self, chars: np.ndarray, counts: np.ndarray) -> None:
         self.index = np.zeros(0x110000, np.uint16)
         self.index[chars] = np.arange(1, len(chars) + 1)
-        self.size = len(chars) + 1
+        self.chars, self.size = chars, len(chars) + 1
         total = max(counts.sum(), 1.0)
         self.info = -np.log((counts + 0.1) / total).astype(np.float32)
         control = np.flatnonzero((chars >= 0x80) & (chars < 0xA0)) + 1  # no text has C1 controls, however many garbled ones do
@@ -83,6 +112,46 @@ class Model:
         return float(self.pairs(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")).sum())
 
 
+def _decodes(model: Model, word: str) -> bool:
+    """Whether a word is UTF-8 wrongly decoded, once or twice: one sequence is shorter and so more probable than its characters, however common these are."""
+    if not _any_sequence().search(word):
+        return False
+    high, now = sum(c > "\x7f" for c in word), None
+    for name, sequence in _sequences():
+        if sum(map(len, sequence.findall(word))) < DECODED * high:
+            continue
+        now = model.text(f" {word} ") if now is None else now
+        once = _mapped(word, name, "utf_8")
+        for new in (once, *(_mapped(once, w, "utf_8") for w in ("cp1252", "cp1251"))):
+            if len(new) < len(word) and now - model.text(f" {new} ") > GAIN_UTF8:
+                return True
+    return False
+
+
+def decoded_wrongly(model: Model, words: list[str]) -> np.ndarray:
+    """Which of the words an inverse mapping makes far more probable. The words hold no space."""
+    if not words:
+        return np.zeros(0, bool)
+    cp = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.array([len(w) + 1 for w in words])  # pairs of a word, with the spaces around it
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    i, high = model.index[cp], np.add.reduceat(cp[:-1] > 0x7F, start, dtype=np.int64)
+    now = np.add.reduceat(model.info[i[:-1], i[1:]], start)
+    out = np.zeros(len(words), bool)
+    for table in _codecs()[1].values():
+        to = np.arange(model.size)
+        for k, c in enumerate(model.chars.tolist(), 1):
+            if c in table:
+                to[k] = model.index[ord(table[c])]
+        j = to[i]
+        changed = np.add.reduceat(j[:-1] != i[:-1], start, dtype=np.int64)
+        left = np.add.reduceat(model.info[j[:-1], j[1:]], start)
+        out |= (changed >= CHANGED) & (changed >= 0.7 * high) & (left <= PLAIN * size) & (now - left >= GAIN_PAIR * size)
+    for k in np.flatnonzero(~out).tolist():
+        out[k] = _decodes(model, words[k])
+    return out
+
+
 def pair_counts(df: DataFrame, text: str, alphabet: int = ALPHABET) -> tuple[np.ndarray, np.ndarray]:
     """The ``alphabet`` most frequent characters of all texts, and the counts of pairs of them (entry 0: any other)."""
 
@@ -115,6 +184,38 @@ def pair_counts(df: DataFrame, text: str, alphabet: int = ALPHABET) -> tuple[np.
     return chars, counts
 
 
+def sound_counts(df: DataFrame, text: str, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts without the pairs of wrongly decoded words, so that these can't make themselves ordinary by their number."""
+    shipped = df.sparkSession.sparkContext.broadcast((chars, counts))  # as large as the counts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = Model(*shipped.value), {}
+        gone = np.zeros(model.size**2, np.int64)
+        for b in batches:
+            found: Counter[str] = Counter()
+            for t in b.column(0).to_pylist():
+                if t and not t.isascii():
+                    found.update(f"\0{t}\0".split(" "))  # no pair is taken out at the ends of a text, where none is counted
+            words = {w: w.strip("\0") for w in found if not w.isascii()}
+            if len(known) > KNOWN:
+                known.clear()
+            new = list({w for w in words.values() if w not in known})
+            known.update(zip(new, decoded_wrongly(model, new).tolist()))
+            wrong = [w for w, plain in words.items() if known[plain]]
+            if wrong:
+                cp = np.frombuffer(f" {' '.join(wrong)} ".encode("utf-32-le", "surrogatepass"), "<u4")
+                i, times = model.index[cp].astype(np.int64), np.repeat([found[w] for w in wrong], [len(w) + 1 for w in wrong])
+                inside = (cp[:-1] > 0) & (cp[1:] > 0)
+                gone += np.bincount((i[:-1] * model.size + i[1:])[inside], times[inside], minlength=model.size**2).astype(np.int64)
+        at = np.flatnonzero(gone)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(gone[at])], names=["pair", "n"])
+
+    rows = df.select(F.col(f"`{text}`")).mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most (alphabet + 1) squared rows
+    out = counts.ravel().copy()
+    out[rows["pair"].to_numpy(np.int64)] -= rows["n"].to_numpy()
+    return out.reshape(counts.shape)
+
+
 def improbable_runs(model: Model, cp: np.ndarray, row: np.ndarray, level: float = LEVEL, least: float = LEAST_RUN) -> list[tuple[int, int]]:
     """Maximum-scoring segments, as half-open spans of code points of a batch. A run stays within its row."""
     if len(cp) < 2:
@@ -273,7 +374,8 @@ def garbled(df: DataFrame, key: str, text: str, alphabet: int = ALPHABET) -> Dat
     other columns are dropped. An empty table gives an empty one.
     """
     base = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    shipped = df.sparkSession.sparkContext.broadcast(pair_counts(base, "t", alphabet))  # (alphabet + 1) squared numbers
+    chars, counts = pair_counts(base, "t", alphabet)
+    shipped = df.sparkSession.sparkContext.broadcast((chars, sound_counts(base, "t", chars, counts)))  # (alphabet + 1) squared numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shipped.value)

@@ -291,6 +291,17 @@ def test_garbled_rows(spark):
     assert mojibake.garbled(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize(("right", "wrong"), [("utf-8", "cp1251"), ("utf-8", "cp1252"), ("cp1251", "cp1252"), ("cp1251", "koi8_u")])
+def test_a_garbled_source_of_a_third_of_the_rows_is_found(spark, right, wrong):
+    rng = random.Random(5)
+    words = "протягом робочих днів комітет розглядає оновлений перелік заявок товариство зберігає журнал після звірки щорічний звіт Рівне Січень".split()
+    good = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(600)]
+    octets = [bytes([b]).decode(wrong, "ignore") or chr(b) for b in range(256)]
+    rows = [(i, "".join(octets[b] for b in t.encode(right)) if i % 3 == 0 else t) for i, t in enumerate(good)]
+    got = {r.doc_id: r.restored for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {i: good[i] for i in range(0, 600, 3)}
+
+
 # ---- 2: pairs
 
 Q = "Протягом якого строку Комітет перевіряє реєстр скарг для товариства «Мурнало» згідно з наказом № 5851-д?"
