@@ -326,6 +326,21 @@ def fingerprint_changes(spark: SparkSession, d: str) -> DataFrame:
     return changes(docs.where("ingested_at < timestamp '2024-01-01 00:00:00'"), docs.where("doc_id % 7 <> 0"), "doc_id", "hash")
 
 
+@query("""
+WITH o AS (SELECT claim_id, arg_max(struct_pack(t := text), struct_pack(a := ingested_at, t := text)).t t FROM claim_refs WHERE ingested_at < TIMESTAMPTZ '2024-01-01 00:00:00+00' GROUP BY 1),
+n AS (SELECT claim_id, arg_max(struct_pack(t := text), struct_pack(a := ingested_at, t := text)).t t FROM claim_refs GROUP BY 1)
+SELECT claim_id, CASE WHEN o.t IS NULL THEN 'added' WHEN n.t IS NULL THEN 'removed' WHEN o.t = n.t THEN 'unchanged' ELSE 'modified' END AS change
+FROM n LEFT JOIN o USING (claim_id) WHERE o.t IS NOT NULL OR n.t IS NOT NULL""")
+def edition_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What changes between the claims as they stood at a date and as they arrived last. A claim without a text is not indexed."""
+    from ..operators.incremental import changes  # noqa: PLC0415
+
+    claims = table(spark, d, "claim_refs").select("claim_id", "text", "ingested_at")
+    last = F.max(F.struct("ingested_at", "text"))["text"]
+    edition = lambda rows: rows.groupBy("claim_id").agg(last.alias("text")).where("text is not null").select("claim_id", F.sha2("text", 256).alias("hash"))
+    return changes(edition(claims.where("ingested_at < timestamp '2024-01-01 00:00:00'")), edition(claims), "claim_id", "hash")
+
+
 # ---- aggregation, boards, statistics
 
 

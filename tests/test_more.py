@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import chunking, inference
 from lakeloom.operators import linkage, sampling
+from lakeloom.plans import catalog
 from lakeloom.sources import readers
 
 
@@ -86,3 +87,11 @@ def test_sources(spark, tmp_path):
     assert json.loads(next((tmp_path / "o").glob("*.json")).read_text()) == {"a": 1, "b": None}
     readers.write_sheet(spark.createDataFrame([('x "y"', "1\n2")], "a string, b string").coalesce(1), str(tmp_path / "c"))
     assert [tuple(r) for r in readers.read_table(spark, str(tmp_path / "c")).collect()] == [('x "y"', "1\n2")]
+
+
+def test_editions_with_every_kind_of_change(spark, tmp_path):
+    rows = [(1, "old", "2023-05-01"), (1, "new", "2024-05-01"), (2, "same", "2023-05-01"), (2, "same", "2024-05-01"), (7, "late", "2024-02-01"), (14, "kept", "2023-02-01"), (5, "gone", "2023-02-01"), (5, None, "2024-02-01"), (6, None, "2023-02-01")]
+    df = spark.createDataFrame(rows, "claim_id long, text string, t string").selectExpr("claim_id", "text", "cast(t as timestamp) ingested_at")
+    df.write.parquet(f"{tmp_path}/claim_refs.parquet")
+    got = {r.claim_id: r.change for r in catalog.QUERIES["edition_changes"](spark, str(tmp_path)).collect()}
+    assert got == {1: "modified", 2: "unchanged", 5: "removed", 7: "added", 14: "unchanged"}
