@@ -179,13 +179,26 @@ p AS (SELECT doc_id, count(DISTINCT page_id) pages FROM pdf_pages GROUP BY 1)
 SELECT doc_id, regexp_replace(t, '[0-9]+', '#', 'g') AS line, count(DISTINCT page_id) AS n_pages FROM l JOIN p USING (doc_id) WHERE t <> '' AND length(t) <= 60
 GROUP BY doc_id, pages, 2 HAVING count(DISTINCT page_id) >= greatest(3, 0.3 * pages)""")
 def repeated_page_lines(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pdf_pages")
+    return _repeated_lines(table(spark, d, "pdf_pages"), 60)
+
+
+def _repeated_lines(pages: DataFrame, longest: int) -> DataFrame:
     lines = pages.select("doc_id", "page_id", F.explode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("t")).withColumn("t", F.trim("t"))
     sizes = pages.groupBy("doc_id").agg(F.countDistinct("page_id").alias("pages"))
-    keyed = lines.where("t <> '' and length(t) <= 60").select("doc_id", "page_id", F.regexp_replace("t", "[0-9]+", "#").alias("line")).distinct()
+    keyed = lines.where(f"t <> '' and length(t) <= {longest}").select("doc_id", "page_id", F.regexp_replace("t", "[0-9]+", "#").alias("line")).distinct()
     return keyed.groupBy("doc_id", "line").agg(F.count("*").alias("n_pages")).join(sizes, "doc_id").where("n_pages >= greatest(3, 0.3 * pages)").select("doc_id", "line", "n_pages")
 
 
+@query("""
+WITH l AS (SELECT doc_id, page_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10)))) t FROM (SELECT DISTINCT doc_id, page_id, text FROM pdf_pages) WHERE text IS NOT NULL),
+p AS (SELECT doc_id, count(DISTINCT page_id) pages FROM pdf_pages GROUP BY 1)
+SELECT doc_id, regexp_replace(t, '[0-9]+', '#', 'g') AS line, count(DISTINCT page_id) AS n_pages FROM l JOIN p USING (doc_id) WHERE t <> '' AND length(t) <= 90
+GROUP BY doc_id, pages, 2 HAVING count(DISTINCT page_id) >= greatest(3, 0.3 * pages)""")
+def running_page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated lines of up to the 90 characters that a running line may have."""
+    return _repeated_lines(table(spark, d, "pdf_pages"), 90)
+
+
 @query("""
 WITH b AS (SELECT doc_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10) || chr(10)))) t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, count(*) AS blocks, count(*) - count(DISTINCT t) AS repeated, CAST(sum(length(t)) AS BIGINT) AS chars FROM b WHERE t <> '' GROUP BY doc_id""")
