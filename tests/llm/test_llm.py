@@ -359,6 +359,14 @@ def test_pages_are_repaired(spark):
     assert all(not got[100 + i].noise for i in range(40))
 
 
+def test_chapter_heads_and_numbers_that_start_anew(spark):
+    heads = "Загальні положення;Порядок звітності;Облік документів;Строки зберігання;Права товариства;Робота комітету;Перелік заявок;Щорічна звірка;Склад комісії;Розгляд скарг;Зміни журналу;Прикінцеві норми".split(";")
+    body = "протягом робочих днів комітет розглядає перелік"
+    rows = [(i, "long", i + 1, f"{heads[i // 10]}\n\nрядок {body}\n{body} далі\nі ще {body}\n\n{i % 40 + 1}") for i in range(120)]
+    got = {r.page_id: r.noise for r in scans.repair(spark.createDataFrame(rows, "page_id long, doc_id string, page int, text string")).collect()}
+    assert got == {i: ["header", "page_number"] for i in range(120)}
+
+
 def test_skip_grams_bring_words_of_like_context_together():
     rng = np.random.default_rng(0)
     ids = np.concatenate([[0, 2, 4] if x else [1, 3, 5] for x in rng.random(3000) < 0.5])
