@@ -1,9 +1,8 @@
 """Bags of words: what problems 4 and 5 share.
 
 Two texts are similar if the words in common, repeats included, are at least ``share`` of the words of
-the longer one. The k-th repeat of a word in a text is a token of its own, so bags become sets. Tokens
-have one order over the whole corpus, rarest first. A text of n words can lack at most d = n - ceil(share n)
-of its tokens in a partner, so similar texts have one of their first d + 1 tokens in common.
+the longer one. The k-th repeat of a word in a text is a token of its own, so bags become sets of 63-bit
+hashes. Nothing here depends on how often a word occurs or how large the corpus is.
 """
 
 from __future__ import annotations
@@ -11,18 +10,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
 
 SHARE = 0.85
-#: Buckets of the frequency table, 4 bytes each: what is broadcast never exceeds 8 MB. It only sets the order.
-BUCKETS = 1 << 21
-#: A token is rare up to so many occurrences.
-RARE = 64
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -37,7 +29,7 @@ def common(n: int, share: float = SHARE) -> int:
 
 
 class Hasher:
-    """64-bit hashes of the tokens of a bag; hashes of words already met are kept, up to a bound."""
+    """63-bit hashes of the tokens of a bag; hashes of words already met are kept, up to a bound."""
 
     def __init__(self, bound: int = 500_000) -> None:
         self.known: dict[str, int] = {}
@@ -58,51 +50,6 @@ class Hasher:
         return out
 
 
-def frequencies(df: DataFrame, text_of: Callable[[dict], list[str]], columns: list[str]) -> np.ndarray:
-    """Occurrences of all tokens of the corpus, by hash bucket. ``text_of`` makes texts of a batch of columns."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, total = Hasher(), np.zeros(BUCKETS, np.int32)
-        for b in batches:
-            flat: list[int] = []
-            for t in text_of(dict(zip(b.schema.names, b.columns))):
-                if t:
-                    flat += hashed(words(t))
-            total += np.bincount(np.array(flat, np.int64) % BUCKETS, minlength=BUCKETS).astype(np.int32)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 100_000):
-            part = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], names=["bucket", "n"])
-
-    summed = df.select(*columns).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").sum("n").toArrow()
-    out = np.zeros(BUCKETS, np.int32)  # at most BUCKETS rows arrive
-    out[summed["bucket"].to_numpy()] = np.minimum(summed["sum(n)"].to_numpy(), np.iinfo(np.int32).max)
-    return out
-
-
-def ordered(tokens: list[int], freq: np.ndarray) -> tuple[list[int], list[int]]:
-    """Tokens rarest first, with their frequencies."""
-    h = np.array(tokens, np.int64)
-    n = freq[h % BUCKETS]
-    order = np.lexsort((h, n))
-    return h[order].tolist(), n[order].tolist()
-
-
-def rare_keys(tokens: list[int], counts: list[int], share: float = SHARE) -> list[tuple[int, int]]:
-    """(token, position) of the rare ones among the first d + 1 tokens of a bag given rarest first.
-
-    Texts with a rare token in common share one of these keys. A unique token needs no key.
-    """
-    first = len(tokens) - common(len(tokens), share) + 1
-    return [(tokens[i], i) for i in range(first) if 1 < counts[i] <= RARE]
-
-
-def frequent_part(tokens: list[int], counts: list[int], share: float = SHARE) -> list[int]:
-    """The frequent tokens of a bag given rarest first; none if so many are rare that partners share a rare one."""
-    rare = sum(c <= RARE for c in counts)
-    return [] if rare > len(tokens) - common(len(tokens), share) else tokens[rare:]
-
-
 def overlap(a: list[str], b: list[str]) -> int:
     """Words in common, repeats included."""
     return (Counter(a) & Counter(b)).total()
