@@ -13,6 +13,7 @@ whatever its words: see ``band_recall``.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,15 +30,25 @@ from .components import connected_groups
 MIN_WORDS = 8
 MISS = 1e-5
 #: Signature: batches of minwise hashes, one byte each.
-BATCH, BATCHES = 16, 4
-#: Bands and hashes in a band. A pair of agreement 0.739 (overlap 0.85 at equal size, the least there is) is missed
-#: with probability 0.04, one of overlap 0.88 with 0.004, one of 0.9 with 0.0006.
-BANDS, BAND = 36, 8
+BATCH, BATCHES = 16, 8
+#: Bands and hashes in a band. Bands share hashes, so they miss more than independent ones would: a pair of agreement
+#: 0.739 (overlap 0.85 at equal size, the least there is) is missed with probability 0.04, one of overlap 0.88 with 0.006; see ``band_recall``.
+BANDS, BAND = 44, 8
 #: Texts under one key that are paired directly; larger groups are compared block by block.
 DIRECT, BLOCK = 128, 1024
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 62, BATCH * BATCHES, dtype=np.uint64) | np.uint64(1)
-#: The hashes of every band, drawn from those of the signature.
-_PICKS = np.stack([np.random.default_rng(100 + k).choice(BATCH * BATCHES, BAND, replace=False) for k in range(BANDS)])
+
+
+def _band_design(hashes: int, bands: int, size: int, seed: int = 100) -> np.ndarray:
+    """The hashes of every band: the signature is shuffled and cut into bands, again and again, so that each hash serves equally often."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < bands:
+        order = rng.permutation(hashes)
+        out += [order[i : i + size] for i in range(0, hashes - size + 1, size)]
+    return np.stack(out[:bands])
+
+
+_PICKS = _band_design(BATCH * BATCHES, BANDS, BAND)
 
 
 def signatures(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -66,9 +77,10 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_recall(agreement: float) -> float:
-    """Probability that two bags of this Jaccard similarity share a band, for bands that have no hash in common."""
-    return 1 - (1 - agreement**BAND) ** BANDS
+def band_recall(agreement: float, draws: int = 20_000) -> float:
+    """Probability that two bags of this Jaccard similarity share a band, by simulation with the hashes that the bands really share."""
+    equal = np.random.default_rng(5).random((draws, BATCH * BATCHES)) < agreement
+    return float(np.any([equal[:, pick].all(1) for pick in _PICKS], 0).mean())
 
 
 @lru_cache(64)
@@ -101,8 +113,11 @@ def survives(a: np.ndarray, b: np.ndarray, share: float = bags.SHARE, miss: floa
     return out
 
 
-def similar(a: list[str], b: list[str], share: float = bags.SHARE) -> bool:
-    return bags.overlap(a, b) >= bags.common(max(len(a), len(b)), share)
+def similar(a: Counter[str], b: Counter[str], share: float = bags.SHARE) -> bool:
+    """Whether two bags of words are similar."""
+    sizes = a.total(), b.total()
+    need = bags.common(max(sizes), share)
+    return min(sizes) >= need and sum(min(n, b[w]) for w, n in a.items() if w in b) >= need
 
 
 def _bags(df: DataFrame, min_words: int) -> DataFrame:
@@ -220,7 +235,14 @@ def _exact(pairs: DataFrame, share: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [similar(bags.words(x), bags.words(y), share) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            known: dict[str, Counter[str]] = {}  # a text is in many pairs of a batch
+
+            def bag(t: str) -> Counter[str]:
+                if t not in known:
+                    known[t] = Counter(bags.words(t))
+                return known[t]
+
+            keep = [similar(bag(x), bag(y), share) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -237,6 +259,7 @@ def _within_blocks(crowded: DataFrame, texts: DataFrame, share: float, miss: flo
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         hashed, found = bags.Hasher(), [bags.words(t) for t in pdf["text"]]
+        whole = [Counter(x) for x in found]
         sigs, ids = signatures(np.concatenate([hashed(x) for x in found]), np.array([len(x) for x in found])), pdf["rep"].to_numpy()
         part = np.arange(len(ids))
         links = []
@@ -244,7 +267,7 @@ def _within_blocks(crowded: DataFrame, texts: DataFrame, share: float, miss: flo
             others = np.flatnonzero(part != part[i])
             others = others[survives(np.broadcast_to(sigs[i], (len(others), sigs.shape[1])), sigs[others], share, miss)]
             for j in others:
-                if part[j] != part[i] and similar(found[i], found[j], share):
+                if part[j] != part[i] and similar(whole[i], whole[j], share):
                     links.append((ids[i], ids[j]))
                     part[part == part[j]] = part[i]
         return pd.DataFrame(links, columns=["a", "b"])
