@@ -26,6 +26,8 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 STEPS, PRECISION = 60, 1e-9
 #: Parts into which rounding divides the documents of a source, level by level.
 PARTS, LEVELS = 512, 3
+#: Targets (mix and source) there may be; they are held on the driver and broadcast, 100 bytes each.
+MOST_TARGETS = 200_000
 
 
 def token_counts(df: DataFrame, key: str, source: str, text: str, path: str = BYTE_BPE) -> DataFrame:
@@ -84,6 +86,8 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: s
     are documents of their own. Null targets count as 0. Without targets or documents the results are empty.
     """
     spark = documents.sparkSession
+    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets: mix them in parts, as the sources of a mix don't depend on one another")
     sized = stage(token_counts(documents, key, source, text, path), "sizes")
     all_tokens = sized.agg(F.sum("tokens")).first()[0] or 0
     used = sized.where("k is not null and source is not null and tokens > 0")

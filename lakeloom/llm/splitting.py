@@ -113,6 +113,7 @@ def split_items(df: DataFrame, text: str, limit: int = LIMIT, overlap: int = OVE
     def spans(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else [{"s": s, "e": e} for s, e in piece_spans(t, limit, overlap)])
 
+    spans = spans.asNondeterministic()  # else the optimizer evaluates it once for each use of its result
     col = F.col(f"`{text}`")
     new = ["piece_no", "n_pieces", "char_start", "char_end", "piece"]
     keep = [c for c in df.columns if c != text and c not in new]

@@ -115,6 +115,47 @@ def test_sequential_bounds_keep_similar_pairs():
     assert kept == 300
 
 
+def test_bands_find_pairs_of_common_words_only():
+    """Pairs at the threshold whose words are all among the 40 most common ones of any corpus."""
+    rng, hashed, met = random.Random(7), bags.Hasher(), 0
+    for _ in range(400):
+        words = rng.sample(range(40), 26)
+        a, b = [f"w{x}" for x in words[:20]], [f"w{x}" for x in words[3:23]]
+        assert bags.overlap(a, b) == bags.common(20)
+        sigs = near_duplicates.signatures(np.array(hashed(a) + hashed(b)), np.array([20, 20]))
+        keys = near_duplicates.band_keys(sigs)
+        met += bool((keys[0] == keys[1]).any())
+    assert met >= 0.93 * 400 and near_duplicates.band_recall(17 / 23) > 0.95
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_groups_do_not_depend_on_word_frequencies(spark, copies):
+    """The same pairs come out when every word is made frequent by unrelated texts."""
+    rng = random.Random(11)
+    texts = claims(3)[:60]
+    pool = sorted({w for t in texts for w in bags.words(t or "")})
+    more = [" ".join(rng.sample(pool, 30)) for _ in range(copies * 10)]
+    df = spark.createDataFrame(list(enumerate(texts + more)), "id long, t string")
+    got = {r.id: r.group_id for r in near_duplicates.near_duplicate_groups(df, "id", "t").collect()}
+    assert {k: v for k, v in got.items() if k < 60} == brute_groups(texts) and not any(k >= 60 for k in got)
+
+
+def test_one_segment_is_always_found_among_the_substrings():
+    rng = random.Random(12)
+    for _ in range(2000):
+        a = sorted(rng.sample(range(1000), rng.randrange(1, 60)))
+        b = set(a)
+        for _ in range(rng.randrange(0, 12)):
+            rng.random() < 0.5 and b.discard(rng.choice(a))
+            rng.random() < 0.5 and b.add(rng.randrange(1000))
+        b = sorted(b)
+        if not b or len(set(a) & set(b)) < bags.common(max(len(a), len(b))):
+            continue
+        parts = {tuple(a[p : p + n]): p for p, n in overlaps.segments(len(a))}
+        assert sum(n for _, n in overlaps.segments(len(a))) == len(a)
+        assert any(tuple(b[p : p + n]) in parts for p, n in overlaps.substrings(len(b)))
+
+
 def test_split_overlaps_match_brute_force(spark):
     texts, rng = claims(5), random.Random(2)
     rows = [(f"i{k:03d}", rng.choice(["final", " Calibration", "tuning", "TUNING ", None, "dev"]), t, None if rng.random() < 0.3 else "відповідь одна", "x") for k, t in enumerate(texts)]
@@ -323,6 +364,28 @@ def test_defects(answer, want):
     assert pairs.defect_of(Q, answer, S) == want
 
 
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "На превеликий жаль, я не маю змоги дати відповідь.", "Перепрошую, цього визначити неможливо: у документі немає про це жодних відомостей.", "Про це в тексті нічого не сказано, тому відповісти не можу.", "Бракує інформації.",
+        "Sorry, the passage doesn't mention this.", "I am afraid I do not have enough context to say.", "That question is outside my area.", "It can't be determined from the text.",
+        "Боюсь, что не располагаю такими сведениями.", "В документе об этом не говорится.", "Nie jestem w stanie udzielić odpowiedzi.", "Leider weiß ich es nicht.", "Je ne sais pas.", "Lo siento, no puedo contestar a eso.", "Desculpe, não consigo responder a essa pergunta.", "Mi dispiace, non posso rispondere a questa domanda.", "Bohužel na tuto otázku nelze odpovědět.", "Daarover is geen informatie beschikbaar.",
+    ],
+)
+def test_refusals_that_no_template_has_word_for_word(answer):
+    assert pairs.defect_of(Q, answer, S) == "refusal"
+
+
+def test_an_answer_from_the_quote_is_no_refusal():
+    quote = "Якщо даних недостатньо, комітет не може відповісти на запит і повертає його протягом 3 днів."
+    assert pairs.defect_of("Що робить комітет?", "Комітет не може відповісти на запит і повертає його протягом 3 днів.", quote) is None
+
+
+@pytest.mark.parametrize(("text", "want"), [("Les dossiers sont conservés par le service pendant trois ans.", "fr"), ("De commissie bewaart het register voor drie jaar.", "nl"), ("Komise schvaluje roční seznam spisů podle zákona.", "cs"), ("La commissione approva il registro dopo la verifica.", "it"), ("O comité aprova a lista depois da verificação.", "pt"), ("Der Ausschuss prüft den Bericht.", "de"), ("Komisja zatwierdza listę spraw.", "pl"), ("The board approves it.", "en"), ("Комісія затверджує перелік.", "uk"), ("Комиссия утверждает отчёты.", "ru")])
+def test_language(text, want):
+    assert pairs.language(text) == want
+
+
 def test_defects_of_an_english_question():
     q, s = "Who rebuilds the index of Tarlin after the merger?", "After the merger the index of Tarlin is rebuilt by the Holbel archive office near Dav."
     assert pairs.defect_of(q, "The Holbel archive office near Dav.", s) is None
