@@ -1,13 +1,14 @@
 """Problem 10: find and repair text that was decoded with the wrong character encoding.
 
-Adjacent characters are scored with corpus statistics: the mutual information of the pair together with
-the information of its two characters, which is minus the logarithm of the pair's share. Maximum-scoring
-segments of that score, less a level that ordinary text stays below, are the improbable runs. So that a large
+Adjacent characters are scored by their mutual information in the corpus: how much more or less often than by
+chance they stand together. Shares of characters count as ``FLOOR`` at least, since of rare characters, which
+garbled text is full of, any meeting would look like an association. Maximum-scoring segments of minus that
+information, less a level that ordinary text stays below, are the improbable runs. So that a large
 garbled group doesn't make itself ordinary, words that an inverse mapping makes far more probable, by the
 statistics of all texts, are taken out of the statistics first. Inverse
 mappings (encode with the wrong encoding, decode with the right one) are tested inside those runs only, and
-one is accepted if it makes the run much more probable. Runs with replacement characters can't be restored
-but are found all the same.
+one is accepted if it makes the run much more probable. Pairs with a replacement character are no text and don't
+count in the statistics; runs that hold one can't be restored but are found all the same.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .forms import code_points
 
 #: Characters with statistics of their own, the most frequent ones; all others share one entry. Bounds the table.
 ALPHABET = 1024
-#: Information of a pair, in nats, above which it counts for a run; least score of a run.
-LEVEL, LEAST_RUN = 9.0, 4.0
+#: Least share of a character, share that an unseen pair counts as, minus mutual information above which a pair counts for a run; least score of a run.
+FLOOR, UNSEEN, LEVEL, LEAST_RUN = 1 / 64, 1e-8, 2.5, 3.0
 #: Gain in nats that an inverse mapping must bring, if the bytes form UTF-8 (which is evidence in itself) or not.
 GAIN_UTF8, GAIN_BYTES = 3.0, 12.0
 #: The same for single words of a text in which the mapping has been accepted already.
@@ -101,11 +102,24 @@ class Model:
         control = np.flatnonzero((chars >= 0x80) & (chars < 0xA0)) + 1  # no text has C1 controls, however many garbled ones do
         self.info[control, :] += C1
         self.info[:, control] += C1
+        lost = np.flatnonzero(chars == ord(LOST)) + 1
+        sound = counts.copy()
+        sound[lost, :] = sound[:, lost] = 0
+        share = sound / max(sound.sum(), 1.0)
+        left, right = (np.maximum(share.sum(k), FLOOR) for k in (1, 0))
+        self.apart = (np.log(left[:, None] * right[None, :]) - np.log(share + UNSEEN)).astype(np.float32)  # minus mutual information
+        self.apart[control, :] += C1
+        self.apart[:, control] += C1
 
     def pairs(self, cp: np.ndarray) -> np.ndarray:
         i = self.index[cp]
         return self.info[i[:-1], i[1:]]
 
+    def scores(self, cp: np.ndarray) -> np.ndarray:
+        """Minus the mutual information of every two adjacent characters."""
+        i = self.index[cp]
+        return self.apart[i[:-1], i[1:]]
+
     def text(self, s: str) -> float:
         if len(s) < 2:
             return 0.0
@@ -164,9 +178,8 @@ def pair_counts(df: DataFrame, text: str, alphabet: int = ALPHABET) -> tuple[np.
             local = np.zeros(int(chars[-1]) + 1, np.int64)
             local[chars] = np.arange(len(chars))
             i, same = local[cp], row[1:] == row[:-1]
-            n = np.bincount((i[:-1] * len(chars) + i[1:])[same], minlength=len(chars) ** 2)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(chars[at // len(chars)].astype(np.int32)), pa.array(chars[at % len(chars)].astype(np.int32)), pa.array(n[at])], names=["a", "b", "n"])
+            at, n = np.unique((i[:-1] * len(chars) + i[1:])[same], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(chars[at // len(chars)].astype(np.int32)), pa.array(chars[at % len(chars)].astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
 
     pairs = df.select(F.col(f"`{text}`")).mapInArrow(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = pairs.persist()
@@ -220,7 +233,7 @@ def improbable_runs(model: Model, cp: np.ndarray, row: np.ndarray, level: float
     """Maximum-scoring segments, as half-open spans of code points of a batch. A run stays within its row."""
     if len(cp) < 2:
         return []
-    score = model.pairs(cp).astype(np.float64) - level
+    score = model.scores(cp).astype(np.float64) - level
     score[row[1:] != row[:-1]] = -1e5
     score = np.maximum(score, -1e5)
     total = np.concatenate([[0.0], np.cumsum(score)])
@@ -359,11 +372,12 @@ def restore_text(model: Model, text: str, runs: list[tuple[int, int]]) -> tuple[
             chains.add(tuple(chain))
             out += [text[at : s + a], new]
             at = s + b
+    lost = sum(text.count(LOST, s, e) for s, e in spans)
     if chains:
         out.append(text[at:])
         more, again = _again(model, "".join(out), chains)
-        return more, restored + again, text.count(LOST)
-    return text, 0, text.count(LOST)
+        return more, restored + again, lost
+    return text, 0, lost
 
 
 def garbled(df: DataFrame, key: str, text: str, alphabet: int = ALPHABET) -> DataFrame:
@@ -386,8 +400,6 @@ def garbled(df: DataFrame, key: str, text: str, alphabet: int = ALPHABET) -> Dat
             for s, e in improbable_runs(model, cp, row):
                 r = int(row[s])
                 by_row.setdefault(r, []).append((s - int(first[r]), e - int(first[r])))
-            for r in np.unique(row[cp == ord(LOST)]).tolist():
-                by_row.setdefault(r, [])
             at = sorted(by_row)
             texts = b.column(1).take(pa.array(at, pa.int64())).to_pylist()
             found = [restore_text(model, t, by_row[r]) for r, t in zip(at, texts)]
