@@ -2,9 +2,9 @@
 
 The corpus is cut into words by the tokenizer's pattern. The bytes of a word become token ids and a
 higher-order fold merges the adjacent pair of lowest rank until none is left. The ranks are a literal hash
-table, so a lookup takes constant time (a literal map is searched linearly). The most frequent words of the
-corpus, a bounded number, are folded once and travel to the documents as a second literal table; of the
-others, the distinct ones of each document are folded in place, so that no document is shuffled.
+table, so a lookup takes constant time (a literal map is searched linearly). The most frequent distinct words of the
+corpus, a bounded number, are folded once and travel to the documents as a second literal table; the others, most of
+which occur once, are folded where they stand, so that no document is shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The words of byte_bpe_50k (fixed value of the tokenizer); (?U) gives \s its Unicode meaning in Java.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -117,8 +119,8 @@ def _tables(path: str) -> Column:
     )
 
 
-def _done(rank: Column) -> Column:
-    return F.array_min(rank).isNull()
+def _done(state: Column) -> Column:
+    return F.array_min(state) >= _NONE * 65536
 
 
 def _times(n: int) -> Column:
@@ -141,30 +143,32 @@ def encode_word(word: Column, tables: Column) -> Column:
         after_space = F.concat(led, F.flatten(F.transform(F.slice(chars, 3, F.size(chars)), one)))
         return F.when((F.size(chars) > 1) & (F.get(chars, F.lit(0)) == " ") & led.isNotNull(), after_space).otherwise(plain)
 
-    def step(acc: Column, _: Column) -> Column:
-        ids, rank = acc["ids"], acc["rank"]
+    # an element is (rank of the pair that begins here) * 65536 + id, so that one array holds both and its least element is the next merge
+    def entry(a: Column, b: Column) -> Column:
+        return F.coalesce(_merged(t, a, b), F.lit(_NONE)).cast("bigint") * 65536 + a
 
+    def step(acc: Column, _: Column) -> Column:
         def merge_lowest(m: Column) -> Column:
             def merge(p: Column) -> Column:
-                far = F.size(ids)
-                right = F.array(_merged(t, m, F.get(ids, p + 1)))
-                before = F.when(p > 1, F.concat(F.slice(rank, 1, p - 2), F.array(_merged(t, F.get(ids, p - 2), m)), right)).otherwise(right)
-                return F.struct(F.concat(F.slice(ids, 1, p - 1), F.array(m), F.slice(ids, p + 2, far)).alias("ids"), F.concat(before, F.slice(rank, p + 2, far)).alias("rank"))
+                new, ahead = F.shiftright(m, 16).cast("int"), (F.get(acc, p + 1) % 65536).cast("int")
+                tail = [F.array(entry(new, ahead)), F.slice(acc, p + 2, F.size(acc))]
+                head = [F.slice(acc, 1, p - 2), F.array(entry((F.get(acc, p - 2) % 65536).cast("int"), new))]
+                return F.when(p > 1, F.concat(*head, *tail)).otherwise(F.concat(*tail))
 
-            return _with(F.array_position(rank, m).cast("int"), merge)
+            return _with(F.array_position(acc, m).cast("int"), merge)
 
-        return F.when(_done(rank), acc).otherwise(_with(F.array_min(rank), merge_lowest))
+        return F.when(_done(acc), acc).otherwise(_with(F.array_min(acc), merge_lowest))
 
     def run(ids: Column) -> Column:
-        # rank i belongs to the pair that begins at i; the last one has none
-        ranked = F.transform(ids, lambda a, i: _merged(t, a, F.get(ids, i + 1)))
+        # the last element begins no pair
+        ranked = F.transform(ids, lambda a, i: entry(a, F.get(ids, i + 1)))
+        plain = lambda v: F.transform(v, lambda x: (x % 65536).cast("int"))
 
-        def fold(rank: Column) -> Column:
-            begin = F.struct(ids.alias("ids"), rank.alias("rank"))
+        def fold(begin: Column) -> Column:
             # most words take a few merges: a short fold, a longer one, and one that surely is long enough
-            rest = lambda acc: F.aggregate(ids, acc, step, lambda x: x["ids"])
-            longer = lambda acc: F.when(_done(acc["rank"]), acc["ids"]).otherwise(F.aggregate(_times(6), acc, step, lambda x: F.when(_done(x["rank"]), x["ids"]).otherwise(rest(x))))
-            return F.when(_done(rank), ids).otherwise(F.aggregate(_times(3), begin, step, longer))
+            rest = lambda acc: F.aggregate(ids, acc, step, plain)
+            longer = lambda acc: F.when(_done(acc), plain(acc)).otherwise(F.aggregate(_times(6), acc, step, lambda x: F.when(_done(x), plain(x)).otherwise(rest(x))))
+            return F.when(_done(begin), ids).otherwise(F.aggregate(_times(3), begin, step, longer))
 
         return F.when(F.size(ids) > 1, _with(ranked, fold)).otherwise(ids)
 
@@ -176,16 +180,30 @@ def words(text: Column) -> Column:
 
 
 def frequent_words(df: DataFrame, text: str, path: str = BYTE_BPE, limit: int = FREQUENT_WORDS) -> list[tuple[str, list[int]]]:
-    """The most frequent words of the whole corpus with their ids: at most ``limit`` rows."""
-    counted = df.select(F.explode(words(F.col(f"`{text}`"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counted.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(limit)
+    """The most frequent words of the whole corpus with their ids: at most ``limit`` rows, most frequent first.
+
+    A histogram of the counts, on a scale of sixteenths of a power of two, gives the least count that keeps within the limit; only
+    words of that count reach the driver.
+    """
+    counted = stage(df.select(F.explode(words(F.col(f"`{text}`"))).alias("word")).where(F.length("word") <= 64).groupBy("word").agg(F.count("*").alias("n")), "words")
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, left = None, limit
+    for r in sorted(counted.groupBy(level.alias("at")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["at"]):  # at most 16 * 63 rows
+        if r["n"] > left:
+            break
+        least, left = r["at"], left - r["n"]
+    if least is None:
+        return []
     tables = _tables(path)
-    return [(r.word, r.ids) for r in top.select("word", _with(tables, lambda x: encode_word(F.col("word"), x)).alias("ids")).collect()]
+    found = counted.where(level >= least).select("word", "n", _with(tables, lambda x: encode_word(F.col("word"), x)).alias("ids")).collect()
+    return [(r.word, r.ids) for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 def _by_hash(known: list[tuple[str, list[int]]], spark: SparkSession) -> tuple[Column, int]:
     """Literal table of words by hash; where two share a slot, the more frequent one has it, the other is folded."""
     slots = 4 * len(known) + 1
+    if not known:
+        return _literal([None], "array<struct<w:string,i:array<int>>>"), slots
     frame = spark.createDataFrame(known, "w string, i array<int>").select("w", F.pmod(F.xxhash64("w"), F.lit(slots)).alias("h"))
     place = {r.w: r.h for r in frame.collect()}
     table: list = [None] * slots
@@ -211,19 +229,7 @@ def encode(df: DataFrame, key: str, text: str, path: str = BYTE_BPE, out: str =
             e = F.get(k, F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
             return F.when(e["w"] == w, e["i"])
 
-        def joined(tokens: Column) -> Column:
-            def with_found(found: Column) -> Column:
-                def with_rare(rare: Column) -> Column:
-                    return _with(
-                        F.transform(rare, lambda w: encode_word(w, x)),
-                        lambda folded: F.flatten(F.transform(tokens, lambda w, i: F.coalesce(F.get(found, i), F.get(folded, F.array_position(rare, w).cast("int") - 1)))),
-                    )
-
-                return _with(F.array_distinct(F.filter(tokens, lambda w, i: F.get(found, i).isNull())), with_rare)
-
-            return _with(F.transform(tokens, look), with_found)
-
-        return _with(words(F.col("_t")), joined)
+        return F.flatten(F.transform(words(F.col("_t")), lambda w: F.coalesce(look(w), encode_word(w, x))))
 
     every = F.struct(known.alias("k"), tables.alias("x"))
     return base.select(F.col("_k").alias(key), _with(every, ids).alias(out))
