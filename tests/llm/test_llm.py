@@ -438,6 +438,24 @@ def test_skip_grams_bring_words_of_like_context_together():
     assert (inner[0] @ outer[2]) > (inner[0] @ outer[3]) and (inner[1] @ outer[3]) > (inner[1] @ outer[2])
 
 
+def test_vectors_decide_on_rare_dictionary_words():
+    """A rare word of the dictionary is a misreading of a frequent one in like contexts only."""
+    counts = {"вони": 900, "зони": 30, "комітет": 900, "комітег": 30}
+    inner = np.array([[1, 0], [0, 1], [1, 1], [1, 0.8]], np.float32)
+    words = scans.Words(counts, set(), inner, np.ones_like(inner))
+    assert words.links("комітег") == ["комітет"] and words.links("зони") == []
+    blind = scans.Words(counts, set(), np.zeros_like(inner), np.ones_like(inner))
+    assert blind.links("комітег") == []
+
+
+def test_pages_without_a_document_are_kept_apart(spark):
+    body = "Комітет розглядає щорічний журнал заявок протягом робочих днів. " * 3
+    rows = [(i, f"c{i}", 1, body) for i in range(30)] + [(100, None, 1, "Комітет роз-"), (101, None, 2, "глядає щорічний журнал"), (102, None, None, "журнал зая-"), (103, "d", None, "журнал зая-"), (104, "d", None, "вок\n\nдалі"), (None, "e", 1, "текст"), (None, "e", 1, "текст")]
+    got = {r.page_id: r for r in scans.repair(spark.createDataFrame(rows, "page_id long, doc_id string, page int, text string")).collect() if r.page_id is not None}
+    assert got[100].noise == [] and got[100].text == "Комітет роз-" and got[102].noise == []
+    assert len(got) == 35 and got[100].doc_id is None
+
+
 def test_misreadings():
     assert scans.is_reading("технічннх", "технічних") and not scans.is_reading("технічних", "технічних") and not scans.is_reading("технічнох", "технічних")
     assert scans.plain_form("нав4альних") == "навчальних" and scans.plain_form("затверд>кує") == "затверджує" and scans.plain_form("арку|||ів") == "аркушів"
