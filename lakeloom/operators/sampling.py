@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,19 @@ def evenly_spread(df: DataFrame, order: list[str], n: int) -> DataFrame:
     wanted = F.broadcast(spark.createDataFrame(sorted({(i * total // n,) for i in range(n)}), "_at long"))
     placed = parts.join(offsets, "_p").withColumn("_at", F.col("_o") + F.col("_i"))
     return placed.join(wanted, "_at", "left_semi").select(*df.columns)
+
+
+def quotas(strata: DataFrame, name: str, size: str, n: int) -> DataFrame:
+    """``name, size, quota``: a sample of ``n`` shared out in proportion, by largest remainder, none above its stratum. Strata are few."""
+    total = F.sum(size).over(Window.partitionBy())
+    x = strata.select(name, size, (F.lit(n) * F.col(size) / total).alias("_x")).withColumn("_f", F.floor("_x"))
+    left = F.lit(n) - F.sum("_f").over(Window.partitionBy())
+    rank = F.row_number().over(Window.orderBy(F.desc(F.col("_x") - F.col("_f")), name))
+    return x.withColumn("_l", left).withColumn("_r", rank).select(name, size, F.least(F.col(size), F.col("_f") + (F.col("_r") <= F.col("_l")).cast("long")).alias("quota"))
+
+
+def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
+    """Rows drawn from every stratum up to its quota, in the order of a hash of seed and key."""
+    share = quotas(df.groupBy(stratum).agg(F.count("*").alias("_size")), stratum, "_size", n)
+    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), key)
+    return df.withColumn("_r", F.row_number().over(order)).join(F.broadcast(share.select(stratum, "quota")), stratum).where("_r <= quota").drop("_r", "quota")
