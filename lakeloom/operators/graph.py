@@ -42,3 +42,18 @@ def blocking_counts(df: DataFrame, rules: dict[str, list]) -> DataFrame:
         one = sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("comparisons")).select(F.lit(name).alias("rule"), "comparisons")
         out = one if out is None else out.union(one)
     return out
+
+
+def link_scores(questions: DataFrame, key: str, text: str, nodes: DataFrame, node: str, name: str, least: int = 3, half: float = 0.5) -> DataFrame:
+    """``key, node, score``: words that a question and a node's name share; words that share a stem only count half.
+
+    Both sides meet by stems, so that no question is compared with a node it has nothing in common with.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) >= least))
+    stems = lambda a: F.array_distinct(F.transform(a, lambda w: F.substring(w, 1, 4)))
+    q = questions.select(key, words(F.col(text)).alias("w"))
+    n = nodes.select(F.col(node).alias("node"), words(F.col(name)).alias("w"))
+    exact = q.select(key, F.explode("w").alias("t")).join(n.select("node", F.explode("w").alias("t")), "t").groupBy(key, "node").agg(F.count("*").alias("e"))
+    loose = q.select(key, F.explode(stems(F.col("w"))).alias("t")).join(n.select("node", F.explode(stems(F.col("w"))).alias("t")), "t").groupBy(key, "node").agg(F.count("*").alias("s"))
+    have = F.coalesce("e", F.lit(0))
+    return loose.join(exact, [key, "node"], "left").select(key, "node", (have + half * F.greatest(F.col("s") - have, F.lit(0))).alias("score"))
