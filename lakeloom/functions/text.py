@@ -51,7 +51,12 @@ def fixed_spans(text: Column, size: int, overlap: int) -> Column:
     """Sliding windows (start, end) of ``size`` characters; the last one is the first to reach the end."""
     if not 0 <= overlap < size:
         raise ValueError("0 <= overlap < size")
-    n, step = F.length(text), size - overlap
+    return window_spans(F.coalesce(F.length(text), F.lit(0)), size, overlap)
+
+
+def window_spans(n: Column, size: int, overlap: int) -> Column:
+    """The windows over ``n`` characters; none for none."""
+    step = size - overlap
     last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
     spans = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, n).alias("end")))
     return F.when(n > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import stage
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -52,7 +53,8 @@ def shingle_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, wi
     prefixes that must meet, so a frequent shingle makes no pairs; sizes bound the candidates.
     """
     sets = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.array_sort(T.shingles(F.col(text), width)).alias("s")).where(F.size("s") > 0)
-    reps = sets.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
+    named = sets.select("id", "s", F.xxhash64("s").alias("h"), F.xxhash64("s", F.lit(1)).alias("k"))
+    reps = named.groupBy("h", "k").agg(F.min("id").alias("id"), F.first("s").alias("s")).select("id", "s", F.size("s").alias("n"))
     flat = reps.select("id", "n", F.explode("s").alias("x")).select("id", "n", F.xxhash64("x").alias("h"))
     df_of = flat.groupBy("h").agg(F.count("*").alias("df"))
     # the list of a text is as long as the text, so no group grows with the corpus
@@ -64,3 +66,33 @@ def shingle_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, wi
     full = cand.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return full.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
+def expand(collapsed: DataFrame, places: str = "places") -> DataFrame:
+    """The inverse of ``collapse``: one row per place, with the key it was collapsed under."""
+    return collapsed.select("key", F.explode(places).alias("_p")).select("key", "_p.*")
+
+
+def last_arrivals(df: DataFrame, key: list[str], at: list[str]) -> DataFrame:
+    """The last row of every key, by ``at``. Rows of one key and time must be equal."""
+    return df.groupBy(*key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in key]), F.struct(*at)).alias("_r")).select(*key, "_r.*")
+
+
+def greedy_keep(ids: DataFrame, key: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The ids that stay if, in ascending order, each is dropped that is too near to one kept before.
+
+    ``pairs`` are the near ones. Rounds decide every id whose earlier neighbours are decided: it is dropped if one of them is kept,
+    and kept if all are dropped. Rounds end when all are decided; there are as many as the longest chain of neighbours.
+    """
+    near = stage(pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct(), "near")
+    state = stage(near.select(F.col("y").alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "state")  # others have no earlier neighbour
+    while True:
+        # an id that isn't in the state has no earlier neighbour, and is kept
+        of = near.join(state.select(F.col("id").alias("x"), F.col("kept").alias("k"), F.lit(True).alias("known")), "x", "left").withColumn("k", F.when(F.col("known").isNull(), True).otherwise(F.col("k")))
+        verdict = of.groupBy(F.col("y").alias("id")).agg(F.when(F.max("k"), False).when(F.count("k") == F.count("*"), True).alias("kept"))
+        new = stage(verdict, "state")
+        left, before = new.where("kept is null").count(), state.where("kept is null").count()
+        state = new
+        if not left or left == before:
+            break
+    return ids.select(key).distinct().join(state.where("not kept").select(F.col("id").alias(key)), key, "left_anti")

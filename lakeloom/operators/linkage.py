@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 
 def linked_pairs(df: DataFrame, key: str, block: list[Column], compare: dict[str, tuple[Column, float, float]], threshold: float, prior: float = 0.01) -> DataFrame:
     """``left_id, right_id, match_weight, match_probability``: pairs within a block, weighed by agreement of fields.
@@ -34,3 +36,97 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, key: str, order:
     both = left.select(by, F.col(at).alias("at"), F.lit(1).alias("side"), F.col(key).alias("k"), F.lit(None).cast("long").alias("o")).union(right.select(by, at, F.lit(0), F.lit(None).cast("long"), F.col(order)))
     w = Window.partitionBy(by).orderBy("at", "side", "o", "k").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("last", F.last("o", ignorenulls=True).over(w)).where("side = 1").select(F.col("k").alias(key), F.col("last").alias(order))
+
+
+def levels(left: Column, right: Column, tests: list[Column]) -> Column:
+    """Agreement of two values as a level: the first test that holds counts most, 0 if none does, -1 if a value is missing."""
+    n, out = len(tests), F.when(left.isNull() | right.isNull(), -1)
+    for i, t in enumerate(tests):
+        out = out.when(t, n - i)
+    return out.otherwise(0)
+
+
+def edit_levels(left: Column, right: Column, distances: list[int]) -> Column:
+    return levels(left, right, [left == right, *[F.levenshtein(left, right) <= d for d in distances]])
+
+
+def date_levels(left: Column, right: Column, days: list[int]) -> Column:
+    """Dates as ISO text."""
+    return levels(left, right, [F.abs(F.datediff(F.to_date(left), F.to_date(right))) <= d for d in days])
+
+
+def set_levels(left: Column, right: Column, jaccard: list[float], containment: list[float]) -> Column:
+    """Sets: first what they share of both, then of the smaller one."""
+    both = F.size(F.array_intersect(left, right))
+    union, small = F.size(left) + F.size(right) - both, F.least(F.size(left), F.size(right))
+    return levels(left, right, [(union > 0) & (both >= t * union) for t in jaccard] + [(small > 0) & (both >= t * small) for t in containment])
+
+
+def patterns(pairs: DataFrame, fields: list[str]) -> DataFrame:
+    """Histogram of agreement patterns: what training needs of the pairs, however many there are."""
+    return pairs.groupBy(*fields).agg(F.count("*").alias("n"))
+
+
+#: Patterns that may reach the driver: levels of the fields multiplied.
+MOST_PATTERNS = 1_000_000
+
+
+def fit_rates(histogram: DataFrame, fields: list[str], prior: float = 0.1, rounds: int = 50, floor: float = 1e-6) -> dict[str, dict[int, tuple[float, float]]]:
+    """Rates (m, u) of every level of every field, by expectation maximisation over the pattern histogram.
+
+    Missing values (-1) tell nothing. Fields are taken as independent given whether a pair matches. Rates stay within [floor, 1 - floor].
+    """
+    rows = histogram.limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError("too many agreement patterns")
+    weight = [r["n"] for r in rows]
+    seen = {f: sorted({r[f] for r in rows if r[f] >= 0}) for f in fields}
+    # start: matches agree on high levels, others follow the overall shares
+    rates = {}
+    for f in fields:
+        total = sum(w for r, w in zip(rows, weight) if r[f] >= 0) or 1
+        up = sum(2.0**k for k in seen[f]) or 1.0
+        rates[f] = {k: (2.0**k / up, sum(w for r, w in zip(rows, weight) if r[f] == k) / total) for k in seen[f]}
+    share = prior
+    for _ in range(rounds):
+        match = []
+        for r in rows:
+            m, u = share, 1 - share
+            for f in fields:
+                if r[f] >= 0:
+                    a, b = rates[f][r[f]]
+                    m, u = m * a, u * b
+            match.append(m / (m + u) if m + u else 0.0)
+        all_pairs = sum(weight) or 1
+        share = min(max(sum(p * w for p, w in zip(match, weight)) / all_pairs, floor), 1 - floor)
+        for f in fields:
+            hit = {k: [0.0, 0.0] for k in seen[f]}
+            for r, p, w in zip(rows, match, weight):
+                if r[f] >= 0:
+                    hit[r[f]][0] += p * w
+                    hit[r[f]][1] += (1 - p) * w
+            a, b = (sum(x[i] for x in hit.values()) or 1.0 for i in (0, 1))
+            rates[f] = {k: tuple(min(max(x / t, floor), 1 - floor) for x, t in zip(v, (a, b))) for k, v in hit.items()}
+    return rates
+
+
+def match_weight(model: dict[str, dict[int, tuple[float, float]]], prior: float) -> Column:
+    """Weight in bits of a pair by a saved model: prior odds and log2(m / u) of every level; a level the model lacks tells nothing."""
+    out = F.lit(math.log2(prior / (1 - prior)))
+    for f, rates in model.items():
+        part = F
+        for k, (m, u) in rates.items():
+            part = part.when(F.col(f) == k, math.log2(m / u))
+        out = out + (part.otherwise(0.0) if rates else F.lit(0.0))
+    return out
+
+
+def accuracy_curve(df: DataFrame, label: Column, score: str) -> DataFrame:
+    """``threshold, tp, fp, tn, fn, precision, recall, f1`` at every distinct score, pairs at or above it taken as matches."""
+    cells = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(label.cast("long")).alias("p"), F.count("*").alias("n"))
+    total = cells.agg(F.sum("p").alias("ap"), F.sum("n").alias("an"))  # one row
+    run = running_sums(cells, "threshold", ["p", "n"], descending=True).crossJoin(F.broadcast(total))
+    tp, fp, fn = F.col("p_run"), F.col("n_run") - F.col("p_run"), F.col("ap") - F.col("p_run")
+    pr, rc = tp / F.col("n_run"), F.when(F.col("ap") > 0, tp / F.col("ap")).otherwise(0.0)
+    f1 = F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(0.0)
+    return run.select("threshold", tp.alias("tp"), fp.alias("fp"), (F.col("an") - F.col("ap") - fp).alias("tn"), fn.alias("fn"), F.round(pr, 9).alias("precision"), F.round(rc, 9).alias("recall"), F.round(f1, 9).alias("f1"))

@@ -34,3 +34,37 @@ def overlap_count(spans: DataFrame, others: DataFrame) -> DataFrame:
     counted = edges.withColumn("started", F.coalesce(F.sum("s").over(before), F.lit(0))).withColumn("ended", F.sum("e").over(upto.rangeBetween(Window.unboundedPreceding, 0)))
     part = F.when(F.col("sign") == 1, F.col("started")).otherwise(-F.col("ended"))
     return counted.where("sign is not null").groupBy("span_id").agg(F.sum(part).alias("n_overlaps"))
+
+
+def coverage_at_k(gold: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
+    """``item, n_spans, covered, coverage, all_covered, char_coverage, intact``: how the first ``k`` places retrieved for an item hold its spans.
+
+    ``gold`` has item, span_id, doc_id, char_start, char_end; ``retrieved`` has item, rank, doc_id, char_start, char_end.
+    """
+    g = gold.where("char_end > char_start").select("item", "span_id", "doc_id", F.col("char_start").alias("gs"), F.col("char_end").alias("ge")).distinct()
+    r = retrieved.where((F.col("rank") <= k) & (F.col("char_end") > F.col("char_start"))).select("item", "doc_id", "char_start", "char_end")
+    hits = g.join(r, ["item", "doc_id"]).where("char_start < ge and gs < char_end")
+    hits = hits.select("item", "span_id", F.greatest("char_start", "gs").alias("s"), F.least("char_end", "ge").alias("e"), ((F.col("char_start") <= F.col("gs")) & (F.col("char_end") >= F.col("ge"))).alias("whole"))
+    length = union_length(hits.select("item", "span_id", "s", "e").distinct(), ["item", "span_id"], "s", "e").select("item", "span_id", F.col("covered").alias("chars"))
+    whole = hits.groupBy("item", "span_id").agg(F.max("whole").alias("whole"))
+    per = g.join(length, ["item", "span_id"], "left").join(whole, ["item", "span_id"], "left")
+    hit = F.col("chars").isNotNull()
+    return per.groupBy("item").agg(
+        F.count("*").alias("n_spans"), F.count_if(hit).alias("covered"), F.round(F.avg(hit.cast("double")), 9).alias("coverage"), F.min(hit).alias("all_covered"),
+        F.round(F.avg(F.coalesce(F.col("chars"), F.lit(0)) / (F.col("ge") - F.col("gs"))), 9).alias("char_coverage"), F.round(F.avg(F.coalesce("whole", F.lit(False)).cast("double")), 9).alias("intact"),
+    )
+
+
+def regions(inner: DataFrame, whole: DataFrame, key: str) -> DataFrame:
+    """``key, start, end``: a text parted into its inner spans and the gaps around them, in order and without overlap.
+
+    ``inner`` has key, start, end; ``whole`` has key, length. What an inner span shares with an earlier one is the earlier one's.
+    """
+    w = Window.partitionBy(key).orderBy("start", "end")
+    cut = inner.join(whole, key).select(key, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "length").alias("end"), "length")
+    upto = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cut.withColumn("_c", upto).withColumn("_s", F.greatest("start", "_c"))
+    own = placed.where("end > _s").select(key, F.col("_s").alias("start"), "end")
+    gaps = placed.where("end > _s and _s > _c").select(key, F.col("_c").alias("start"), F.col("_s").alias("end"))
+    last = whole.join(placed.groupBy(key).agg(F.max("end").alias("_m")), key, "left").select(key, F.coalesce("_m", F.lit(0)).alias("start"), F.col("length").alias("end")).where("end > start")
+    return own.union(gaps).union(last)

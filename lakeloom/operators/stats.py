@@ -29,17 +29,3 @@ def paired(df: DataFrame, group: str, candidate: Column, baseline: Column) -> Da
     """Wins, losses, ties and mean difference per group, over rows where both are known."""
     d = df.select(group, (candidate - baseline).alias("d")).where("d is not null")
     return d.groupBy(group).agg(F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"), F.round(F.avg("d"), 6).alias("mean_delta"))
-
-
-def bootstrap_means(df: DataFrame, group: str, value: str, parts: int = 64, resamples: int = 50, seed: int = 13) -> DataFrame:
-    """``group, replicate, mean``: bootstrap over ``parts`` sums per group, by a hash of the row's ``id``.
-
-    Rows are summed into parts once, then parts are drawn with replacement, so the work doesn't grow with
-    resamples times rows. Draws come from md5, so they are equal in every engine.
-    """
-    draw = lambda x, n: F.pmod(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(n))
-    sums = df.where(F.col(value).isNotNull()).groupBy(group, draw(F.col("id").cast("string"), parts).alias("part")).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    spark = df.sparkSession
-    reps = spark.range(resamples).select(F.col("id").alias("replicate")).crossJoin(spark.range(parts).select(F.col("id").alias("draw")))  # a fixed table
-    drawn = reps.withColumn("part", draw(F.concat_ws("-", F.lit(seed), "replicate", "draw"), parts)).select("replicate", "part")
-    return F.broadcast(drawn).join(sums, "part").groupBy(group, "replicate").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))

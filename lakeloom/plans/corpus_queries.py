@@ -126,14 +126,14 @@ def hash_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT DISTINCT doc_id, len({_tok("text")}) n, {_tok("text")} w FROM documents WHERE text IS NOT NULL),
-x AS (SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, greatest(n - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))) s FROM s WHERE n > 0),
-c AS (SELECT min(doc_id) id, s FROM x GROUP BY s),
+WITH s AS (SELECT DISTINCT claim_id, len({_tok("text")}) n, {_tok("text")} w FROM claim_refs WHERE text IS NOT NULL),
+x AS (SELECT claim_id, list_sort(list_distinct(list_transform(generate_series(1, greatest(n - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))) s FROM s WHERE n > 0),
+c AS (SELECT min(claim_id) id, s FROM x GROUP BY s),
 e AS (SELECT id, len(s) n, unnest(s) h FROM c),
 p AS (SELECT a.id a, b.id b, a.n na, b.n nb, count(*) k FROM e a JOIN e b ON a.h = b.h AND a.id < b.id GROUP BY ALL)
 SELECT a, b, round(k / (na + nb - k), 9) AS similarity FROM p WHERE k / (na + nb - k) >= 0.8""")
 def shingle_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.shingle_pairs(table(spark, d, "documents"), "doc_id", "text").withColumn("similarity", F.round("similarity", 9))
+    return dedup.shingle_pairs(table(spark, d, "claim_refs"), "claim_id", "text").withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"""
@@ -176,10 +176,11 @@ def unique_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH l AS (SELECT doc_id, page_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10)))) t FROM (SELECT DISTINCT doc_id, page_id, text FROM pdf_pages) WHERE text IS NOT NULL),
 p AS (SELECT doc_id, count(DISTINCT page_id) pages FROM pdf_pages GROUP BY 1)
-SELECT doc_id, regexp_replace(t, '[0-9]+', '#', 'g') AS line, count(DISTINCT page_id) AS n_pages FROM l JOIN p USING (doc_id) WHERE t <> '' AND length(t) <= 60
+SELECT doc_id, regexp_replace(t, '[0-9]+', '#', 'g') AS line, count(DISTINCT page_id) AS n_pages FROM l JOIN p USING (doc_id) WHERE t <> '' AND length(t) <= 90
 GROUP BY doc_id, pages, 2 HAVING count(DISTINCT page_id) >= greatest(3, 0.3 * pages)""")
 def repeated_page_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _repeated_lines(table(spark, d, "pdf_pages"), 60)
+    """Lines of up to the 90 characters that a running line may have."""
+    return _repeated_lines(table(spark, d, "pdf_pages"), 90)
 
 
 def _repeated_lines(pages: DataFrame, longest: int) -> DataFrame:
@@ -189,16 +190,6 @@ def _repeated_lines(pages: DataFrame, longest: int) -> DataFrame:
     return keyed.groupBy("doc_id", "line").agg(F.count("*").alias("n_pages")).join(sizes, "doc_id").where("n_pages >= greatest(3, 0.3 * pages)").select("doc_id", "line", "n_pages")
 
 
-@query("""
-WITH l AS (SELECT doc_id, page_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10)))) t FROM (SELECT DISTINCT doc_id, page_id, text FROM pdf_pages) WHERE text IS NOT NULL),
-p AS (SELECT doc_id, count(DISTINCT page_id) pages FROM pdf_pages GROUP BY 1)
-SELECT doc_id, regexp_replace(t, '[0-9]+', '#', 'g') AS line, count(DISTINCT page_id) AS n_pages FROM l JOIN p USING (doc_id) WHERE t <> '' AND length(t) <= 90
-GROUP BY doc_id, pages, 2 HAVING count(DISTINCT page_id) >= greatest(3, 0.3 * pages)""")
-def running_page_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated lines of up to the 90 characters that a running line may have."""
-    return _repeated_lines(table(spark, d, "pdf_pages"), 90)
-
-
 @query("""
 WITH b AS (SELECT doc_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10) || chr(10)))) t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, count(*) AS blocks, count(*) - count(DISTINCT t) AS repeated, CAST(sum(length(t)) AS BIGINT) AS chars FROM b WHERE t <> '' GROUP BY doc_id""")
@@ -295,9 +286,9 @@ def claim_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT c.claim_id, m.source_system, m.acl_label FROM claim_refs c JOIN corpus_manifest m USING (doc_id) WHERE m.acl_label IS NOT NULL AND c.char_start < 500 AND length(c.text) > 20""")
+SELECT DISTINCT c.claim_id, m.source_system, m.acl_label FROM claim_refs c JOIN corpus_manifest m USING (doc_id) WHERE m.acl_label IS NOT NULL""")
 def governed_claims(spark: SparkSession, d: str) -> DataFrame:
-    claims = table(spark, d, "claim_refs").where("char_start < 500 and length(text) > 20").select("claim_id", "doc_id")
+    claims = table(spark, d, "claim_refs").select("claim_id", "doc_id")
     manifest = table(spark, d, "corpus_manifest").where("acl_label is not null").select("doc_id", "source_system", "acl_label")
     return claims.join(manifest, "doc_id").select("claim_id", "source_system", "acl_label").distinct()
 
@@ -328,15 +319,14 @@ def orderable_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT doc_id, sha256(text) h FROM documents WHERE ingested_at < TIMESTAMPTZ '2024-01-01 00:00:00+00' AND text IS NOT NULL),
-n AS (SELECT doc_id, sha256(text) h FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 0)
+WITH o AS (SELECT doc_id, sha256(coalesce(max(governance.version), '')) h FROM claim_refs WHERE doc_id IS NOT NULL GROUP BY 1), n AS (SELECT doc_id, sha256(coalesce(version, '')) h FROM corpus_manifest)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'modified' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def fingerprint_changes(spark: SparkSession, d: str) -> DataFrame:
-    """What changes between an older index and the current corpus, which here lacks some documents."""
+    """What changes between the versions that the claims were taken from and those of the manifest."""
     from ..operators.incremental import changes  # noqa: PLC0415
 
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "ingested_at", F.sha2("text", 256).alias("hash"))
-    return changes(docs.where("ingested_at < timestamp '2024-01-01 00:00:00'"), docs.where("doc_id % 7 <> 0"), "doc_id", "hash")
+    taken = table(spark, d, "claim_refs").where("doc_id is not null").groupBy("doc_id").agg(F.sha2(F.coalesce(F.max("governance.version"), F.lit("")), 256).alias("hash"))
+    return changes(taken, table(spark, d, "corpus_manifest").select("doc_id", F.sha2(F.coalesce("version", F.lit("")), 256).alias("hash")), "doc_id", "hash")
 
 
 @query("""
@@ -404,15 +394,6 @@ def paired_lengths(spark: SparkSession, d: str) -> DataFrame:
     return stats.paired(rows, "question_type", F.length("reference_answer").cast("double"), F.length("quote") / 2.0)
 
 
-@query("""
-WITH r AS (SELECT lang, doc_id, n_chars, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 64 part FROM documents WHERE n_chars IS NOT NULL),
-s AS (SELECT lang, part, sum(n_chars) s, count(*) n FROM r GROUP BY ALL),
-w AS (SELECT r.range replicate, CAST('0x' || substr(md5('13-' || r.range || '-' || p.range), 1, 8) AS BIGINT) % 64 part FROM range(50) r, range(64) p)
-SELECT lang, replicate, round(sum(s) / sum(n), 6) AS mean FROM w JOIN s USING (part) GROUP BY lang, replicate""")
-def bootstrap_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return stats.bootstrap_means(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars"), "lang", "n_chars")
-
-
 @query("""
 WITH m AS (SELECT year(ts) * 12 + month(ts) - 1 AS month_no, event_type, count(*) n, sum(value) v FROM events GROUP BY ALL)
 SELECT month_no, event_type, n, round(v, 4) AS total, round(sum(v) OVER (PARTITION BY event_type ORDER BY month_no), 4) AS running FROM m""")
@@ -441,12 +422,12 @@ _BOTH = "e AS (SELECT DISTINCT a.doc_id u, b.doc_id v FROM findings WHERE a.doc_
 
 
 @query(f"""
-WITH RECURSIVE {_BOTH}, s AS (SELECT doc_id node FROM corpus_manifest WHERE doc_id LIKE '%7.md'),
+WITH RECURSIVE {_BOTH}, s AS (SELECT DISTINCT a.doc_id node FROM findings WHERE tier = 'hash' AND a.doc_id IS NOT NULL),
 w(node, depth) AS (SELECT node, 0 FROM s UNION SELECT bo.v, w.depth + 1 FROM w JOIN bo ON bo.u = w.node WHERE w.depth < 2)
 SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def two_hop_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     both = graph.undirected(table(spark, d, "findings"), "a.doc_id", "b.doc_id")
-    seeds = table(spark, d, "corpus_manifest").where("doc_id like '%7.md'").select(F.col("doc_id").alias("node"))
+    seeds = table(spark, d, "findings").where("tier = 'hash' and a.doc_id is not null").select(F.col("a.doc_id").alias("node"))
     return graph.k_hop(both, seeds, 2)
 
 

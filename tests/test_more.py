@@ -101,5 +101,5 @@ def test_running_lines_of_up_to_90_characters(spark, tmp_path):
     lines = {60: "а" * 60, 61: "б" * 61, 90: "в" * 90, 91: "г" * 91}
     text = "\n".join(lines.values())
     spark.createDataFrame([(i, "d", text) for i in range(4)], "page_id long, doc_id string, text string").write.parquet(f"{tmp_path}/pdf_pages.parquet")
-    got = {r.line: r.n_pages for r in catalog.QUERIES["running_page_lines"](spark, str(tmp_path)).collect()}
+    got = {r.line: r.n_pages for r in catalog.QUERIES["repeated_page_lines"](spark, str(tmp_path)).collect()}
     assert got == {lines[n]: 4 for n in (60, 61, 90)}
