@@ -90,3 +90,27 @@ def iso_date(text: Column) -> Column:
 
 def month_ordinal(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts) - 1
+
+
+def line_starts(text: Column) -> Column:
+    """Lines of a text with the places where they start: ``array<struct<start, line>>``."""
+    lines = F.split(text, "\n")
+
+    def step(acc: Column, line: Column) -> Column:
+        here = F.struct(acc["at"].alias("start"), line.alias("line"))
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("out"))
+    return F.aggregate(lines, zero, step, lambda acc: acc["out"])
+
+
+def around(text: Column, start: Column, end: Column, radius: int) -> Column:
+    """The text from ``radius`` before a span to ``radius`` behind it, as far as there is any."""
+    low = F.greatest(start - radius, F.lit(0))
+    return F.substring(text, low + 1, F.least(end + radius, F.length(text)) - low)
+
+
+def paragraphs(text: Column) -> Column:
+    """Trimmed stretches between blank lines."""
+    bare = F.transform(F.split(text, r"\n[ \t]*\n\s*"), lambda x: F.regexp_replace(x, r"^[ \t\n]+|[ \t\n]+$", ""))
+    return F.filter(bare, lambda x: x != "")

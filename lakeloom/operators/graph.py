@@ -57,3 +57,10 @@ def link_scores(questions: DataFrame, key: str, text: str, nodes: DataFrame, nod
     loose = q.select(key, F.explode(stems(F.col("w"))).alias("t")).join(n.select("node", F.explode(stems(F.col("w"))).alias("t")), "t").groupBy(key, "node").agg(F.count("*").alias("s"))
     have = F.coalesce("e", F.lit(0))
     return loose.join(exact, [key, "node"], "left").select(key, "node", (have + half * F.greatest(F.col("s") - have, F.lit(0))).alias("score"))
+
+
+def remapped(edges: DataFrame, src: str, dst: str, names: DataFrame, old: str, new: str) -> DataFrame:
+    """Distinct edges with both ends renamed by a table; an edge with an unknown end is dropped, a loop stays."""
+    rest = [c for c in edges.columns if c not in (src, dst)]
+    a, b = names.select(F.col(old).alias(src), F.col(new).alias("_a")), names.select(F.col(old).alias(dst), F.col(new).alias("_b"))
+    return edges.join(a, src).join(b, dst).select(F.col("_a").alias(src), F.col("_b").alias(dst), *rest).distinct()

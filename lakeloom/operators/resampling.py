@@ -18,6 +18,16 @@ def hashed_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *parts)), 1, 8), 16, 10).cast("long")
 
 
+#: fixed values: distribution function of Poisson(1)
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+
+
+def poisson_times(number: Column) -> Column:
+    """A Poisson(1) count told from a hashed number."""
+    u = (number + 0.5) / float(1 << 32)
+    return sum([(u > s).cast("int") for s in _POISSON[1:]], (u > _POISSON[0]).cast("int"))
+
+
 def bootstrap_items(df: DataFrame, group: str, key: str, value: str, resamples: int, seed: int = 13) -> DataFrame:
     """``group, replicate, mean``: each replicate draws as many items of the group as it has, with replacement.
 
@@ -39,9 +49,7 @@ def poisson_means(df: DataFrame, group: str, key: str, value: str, resamples: in
     One pass with partial sums: nothing is ordered, joined or held, so it fits groups of any size. A replicate that
     drew nothing has a null mean.
     """
-    u = (hashed_number(F.lit(str(seed)), F.col("replicate"), F.col(key)) + 0.5) / float(1 << 32)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]  # fixed values: distribution function of Poisson(1)
-    times = sum([(u > s).cast("int") for s in steps[1:]], (u > steps[0]).cast("int"))
+    times = poisson_times(hashed_number(F.lit(str(seed)), F.col("replicate"), F.col(key)))
     rows = df.where(F.col(value).isNotNull()).select(F.col(group), F.col(key), F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate"))
     drawn = rows.withColumn("_t", times)
     total = F.sum("_t")
@@ -157,3 +165,14 @@ def best_threshold(df: DataFrame, label: Column, value: str) -> DataFrame:
     scored = run.select("v", F.round(pr, 9).alias("pr"), F.round(rc, 9).alias("rc"), F.round(F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(0.0), 9).alias("f"))
     best = scored.agg(F.max_by(F.struct("v", "pr", "rc", "f"), F.struct("f", "pr", "v")).alias("b"))
     return best.select(F.col("b.v").alias("threshold"), F.col("b.pr").alias("precision"), F.col("b.rc").alias("recall"), F.col("b.f").alias("f1"))
+
+
+def two_way_shares(df: DataFrame, left: str, right: str, flag: str, resamples: int) -> DataFrame:
+    """``replicate, share``: a share over pairs, resampled by their left and right sides at once with Poisson counts.
+
+    A pair counts the product of its sides' counts; pairs of one side thus move together. Sums only, nothing is joined.
+    """
+    rows = df.select(left, right, flag, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate"))
+    t = poisson_times(hashed_number(F.lit("l"), F.col("replicate"), F.col(left))) * poisson_times(hashed_number(F.lit("r"), F.col("replicate"), F.col(right)))
+    g = rows.withColumn("_t", t).groupBy(F.col("replicate").cast("long").alias("replicate")).agg(F.sum("_t").alias("_n"), F.sum(F.when(F.col(flag), F.col("_t")).otherwise(0)).alias("_y"))
+    return g.where("_n > 0").select("replicate", F.round(F.col("_y") / F.col("_n"), 6).alias("share"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,28 @@ def regions(inner: DataFrame, whole: DataFrame, key: str) -> DataFrame:
     gaps = placed.where("end > _s and _s > _c").select(key, F.col("_c").alias("start"), F.col("_s").alias("end"))
     last = whole.join(placed.groupBy(key).agg(F.max("end").alias("_m")), key, "left").select(key, F.coalesce("_m", F.lit(0)).alias("start"), F.col("length").alias("end")).where("end > start")
     return own.union(gaps).union(last)
+
+
+def overlap_ratio(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
+    """What two spans share, of the shorter one; 0 for an empty span."""
+    shorter = F.least(end - start, other_end - other_start)
+    return F.when(shorter > 0, F.greatest(F.least(end, other_end) - F.greatest(start, other_start), F.lit(0)) / shorter).otherwise(0.0)
+
+
+#: Length of the grid cells by which overlapping spans meet.
+CELL = 512
+
+
+def pooled(tokens: DataFrame, wanted: DataFrame, group: list[str], key: str, vector: str) -> DataFrame:
+    """``group, key, dimension (from 1), value``: mean vector of the tokens that a span overlaps, of length one.
+
+    Both have the columns of ``group``, start and end. They meet by grid cells, so that no span is compared with all tokens of its group.
+    """
+    cells = lambda s, e: F.explode(F.sequence(F.floor(s / CELL), F.floor((e - 1) / CELL)))
+    t = tokens.where("end > start").select(*group, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col(vector).alias("_v"), cells(F.col("start"), F.col("end")).alias("_c"))
+    w = wanted.where("end > start").select(*group, key, "start", "end", cells(F.col("start"), F.col("end")).alias("_c"))
+    # a pair that shares several cells meets in the first of them
+    met = w.join(t, [*group, "_c"]).where((F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e")) & (F.col("_c") == F.floor(F.greatest("_s", "start") / CELL)))
+    mean = met.select(*group, key, F.posexplode("_v").alias("_p", "_x")).groupBy(*group, key, "_p").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    size = F.sqrt(F.sum(F.col("_m") * F.col("_m")).over(Window.partitionBy(*group, key)))
+    return mean.withColumn("_n", size).select(*group, key, (F.col("_p") + 1).alias("dimension"), F.when(F.col("_n") > 0, F.col("_m") / F.col("_n")).otherwise(0.0).alias("value"))
