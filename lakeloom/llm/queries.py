@@ -96,6 +96,13 @@ WITH RECURSIVE e AS (
 both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 reach(u, v) AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u)
 SELECT u AS doc_id, least(u, min(v)) AS group_id FROM reach GROUP BY u""",
+    # brute force over all pairs of claims that share a word, repeats numbered
+    "p4_found": """
+WITH RECURSIVE w AS (SELECT claim_id, any_value(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: x <> '')) w FROM claim_refs WHERE text IS NOT NULL GROUP BY claim_id),
+b AS (SELECT claim_id i, len(w) n, w FROM w WHERE len(w) >= 8), t AS (SELECT i, n, x, row_number() OVER (PARTITION BY i, x) k FROM (SELECT i, n, unnest(w) x FROM b)),
+p AS (SELECT a.i u, b.i v FROM t a JOIN t b ON a.x = b.x AND a.k = b.k AND a.i < b.i AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 1e-9 GROUP BY a.i, b.i, a.n, b.n HAVING count(*) >= ceil(0.85 * greatest(a.n, b.n) - 1e-9)),
+e AS (SELECT u, v FROM p UNION SELECT v, u FROM p), r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT u AS claim_id, least(u, min(v)) AS group_id FROM r GROUP BY u""",
     "p7_found": """
 SELECT DISTINCT 'pdf_page' AS item_kind, CAST(page_id AS VARCHAR) AS item_id FROM pdf_pages WHERE length(text) > 1600
 UNION SELECT DISTINCT 'summarization_case', id FROM summarization_cases_uk WHERE length(document) > 1600""",
