@@ -23,6 +23,11 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def bare(text: Column) -> Column:
+    """Without spaces of any kind at its ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def duplicate_key(text: Column, tier: str) -> Column:
     """Key of the tier ``exact``, ``normalized`` (tokens) or ``masked`` (tokens, digits masked). A text without tokens is its own key."""
     if tier == "exact":

@@ -53,10 +53,10 @@ def chunk_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) t, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) i FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, i - 1 AS line_no, length(regexp_extract(t, '^(#{1,6}) ', 1)) AS level, trim(regexp_replace(t, '^#+ ', '')) AS title FROM l WHERE regexp_matches(t, '^#{1,6} ')""")
+SELECT doc_id, i - 1 AS line_no, length(regexp_extract(t, '^(#{1,6}) ', 1)) AS level, regexp_replace(regexp_replace(t, '^#+ ', ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS title FROM l WHERE regexp_matches(t, '^#{1,6} ')""")
 def headings(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("line_no", "t"))
-    return lines.where(F.col("t").rlike("^#{1,6} ")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length(F.regexp_extract("t", "^(#{1,6}) ", 1)).cast("long").alias("level"), F.trim(F.regexp_replace("t", "^#+ ", "")).alias("title"))
+    return lines.where(F.col("t").rlike("^#{1,6} ")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length(F.regexp_extract("t", "^(#{1,6}) ", 1)).cast("long").alias("level"), T.bare(F.regexp_replace("t", "^#+ ", "")).alias("title"))
 
 
 @query("""
@@ -191,10 +191,10 @@ def _repeated_lines(pages: DataFrame, longest: int) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT doc_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10) || chr(10)))) t FROM documents WHERE text IS NOT NULL)
+WITH b AS (SELECT doc_id, regexp_replace(unnest(string_split(replace(text, chr(13), ''), chr(10) || chr(10))), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, count(*) AS blocks, count(*) - count(DISTINCT t) AS repeated, CAST(sum(length(t)) AS BIGINT) AS chars FROM b WHERE t <> '' GROUP BY doc_id""")
 def block_repeats(spark: SparkSession, d: str) -> DataFrame:
-    blocks = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.regexp_replace("text", "\r", ""), "\n\n")).alias("t")).withColumn("t", F.trim("t")).where("t <> ''")
+    blocks = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.regexp_replace("text", "\r", ""), "\n\n")).alias("t")).withColumn("t", T.bare(F.col("t"))).where("t <> ''")
     return blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), (F.count("*") - F.countDistinct("t")).alias("repeated"), F.sum(F.length("t")).alias("chars"))
 
 
@@ -348,10 +348,10 @@ def edition_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT relation, tier, count(*) AS n, count(DISTINCT a.doc_id) AS docs, round(avg(score), 3) AS mean_score FROM (SELECT DISTINCT finding_id, lower(trim(relation)) relation, tier, score, a FROM findings) GROUP BY GROUPING SETS ((relation, tier), (relation), ())""")
+SELECT relation, tier, count(*) AS n, count(DISTINCT a.doc_id) AS docs, round(avg(score), 9) AS mean_score FROM (SELECT DISTINCT finding_id, lower(trim(relation)) relation, tier, score, a FROM findings) GROUP BY GROUPING SETS ((relation, tier), (relation), ())""")
 def finding_census(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "findings").select("finding_id", F.lower(F.trim("relation")).alias("relation"), "tier", "score", "a").distinct().withColumn("doc", F.col("a.doc_id"))
-    return f.groupingSets([["relation", "tier"], ["relation"], []], "relation", "tier").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"), F.round(F.avg("score"), 3).alias("mean_score"))
+    return f.groupingSets([["relation", "tier"], ["relation"], []], "relation", "tier").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"), F.round(F.avg("score"), 9).alias("mean_score"))
 
 
 @query("""

@@ -187,3 +187,40 @@ def operating_point(spark: SparkSession, d: str) -> DataFrame:
     from .statistics_queries import cross_document_pairs  # noqa: PLC0415
 
     return cross_document_pairs(spark, d).select(F.round(1 - 100 / F.col("cross_document_pairs"), 12).alias("quantile"), F.ceil(F.log(F.lit(1 - 0.95)) / F.log(F.lit(1 - 0.01))).alias("certifiable_units"))
+
+
+@query("""
+SELECT 'minimum_discordant_pairs' AS name, ceil(1 - log2(1 - 0.95)) AS value UNION ALL SELECT 'required_sample_size', ceil(pow((1.959963984540054 + 0.8416212335729143) * 0.4 / 0.05, 2))
+UNION ALL SELECT 'resolvable_delta', round((1.959963984540054 + 0.8416212335729143) * 0.4 / sqrt(200), 9) UNION ALL SELECT 'kv_mib', 4096.0 * (4 * 32768 + 20 * 4096) / 1048576.0 UNION ALL SELECT 'kv_mib_full', 4096.0 * 24 * 32768 / 1048576.0""")
+def planning_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of planning: pairs that must differ, rows for a difference, the difference rows can show, memory of keys and values."""
+    from ..functions import inference as I  # noqa: N812, PLC0415
+
+    rows = [
+        ("minimum_discordant_pairs", float(I.minimum_discordant_pairs())), ("required_sample_size", float(I.required_sample_size(0.4, 0.05))), ("resolvable_delta", round(I.resolvable_delta(0.4, 200), 9)),
+        ("kv_mib", I.kv_cache_mib(24, 1024, 32768, 4096, 6)), ("kv_mib_full", I.kv_cache_mib(24, 1024, 32768)),
+    ]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+def trained_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of agreement among matches and others, learned from the pattern histogram of file pairs."""
+    from ..operators import linkage  # noqa: PLC0415
+    from .graph_queries import _FIELDS, agreement_patterns  # noqa: PLC0415
+
+    model = linkage.fit_rates(agreement_patterns(spark, d), _FIELDS)
+    rows = [(f, k, round(m, 6), round(u, 6)) for f, levels in model.items() for k, (m, u) in levels.items()]
+    return spark.createDataFrame(rows, "field string, level int, m double, u double")
+
+
+def ordered_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of files by labels propagated in ascending order."""
+    from ..operators.clustering import communities_in_order  # noqa: PLC0415
+
+    e = table(spark, d, "findings").where("lower(trim(relation)) = 'duplicate'").select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"))
+    return communities_in_order(e, "x", "y")
+
+
+from .corpus_queries import QUERIES  # noqa: E402
+
+QUERIES.update({f.__name__: f for f in (trained_rates, ordered_communities)})

@@ -181,13 +181,15 @@ def parsed_subqueries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT claim_id, 'X' || substr(text, 2, 4) || '' || substr(text, 9) AS edited, CASE WHEN char_start >= 8 THEN char_start - 3 END AS char_start, CASE WHEN char_start >= 8 THEN char_end - 3 END AS char_end FROM claim_refs WHERE length(text) >= 10 AND char_end > 8""")
+SELECT DISTINCT claim_id, 'X' || substr(text, 2, 4) || '' || substr(text, 9) AS edited, CASE WHEN c.char_start >= 8 THEN c.char_start - 3 END AS char_start, CASE WHEN c.char_start >= 8 THEN c.char_end - 3 END AS char_end FROM claim_refs c WHERE length(text) >= 10 AND char_end > 8""")
 def edited_claims(spark: SparkSession, d: str) -> DataFrame:
     """Two edits of a text, and where a span of it lies after them; null if an edit touches it."""
     edits = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(n).alias("new")) for a, b, n in ((0, 1, "X"), (5, 8, ""))])
     rows = table(spark, d, "claim_refs").where("length(text) >= 10 and char_end > 8").select("claim_id", "text", "char_start", "char_end").distinct()
     span = S.remapped(edits, F.col("char_start"), F.col("char_end"))
-    return rows.select("claim_id", S.edited(F.col("text"), edits).alias("edited"), span["start"].alias("char_start"), span["end"].alias("char_end")).distinct()
+    # the span is taken first: within a lambda the name of an output column would hide the input's
+    placed = rows.select("claim_id", S.edited(F.col("text"), edits).alias("edited"), span.alias("span"))
+    return placed.select("claim_id", "edited", F.col("span.start").alias("char_start"), F.col("span.end").alias("char_end")).distinct()
 
 
 @query("""
@@ -209,11 +211,11 @@ def source_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, lower(trim(regexp_extract(text, '(?m)^#{1,6}[ \\t]+(.+)$', 1))) AS title, round(length(text) / greatest(len(regexp_extract_all(text, '\\S+')), 1), 6) AS chars_per_word FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '(?m)^#{1,6}[ \\t]+\\S')""")
+SELECT doc_id, lower(regexp_replace(regexp_extract(text, '(?m)^#{1,6}[ \\t]+(.+)$', 1), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS title, round(length(text) / greatest(len(regexp_extract_all(text, '\\S+')), 1), 6) AS chars_per_word FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '(?m)^#{1,6}[ \\t]+\\S')""")
 def document_titles(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where(F.col("text").rlike(r"(?m)^#{1,6}[ \t]+\S"))
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^\t\n\f\r ]+"), F.lit(0)))
-    return rows.select("doc_id", F.lower(F.trim(F.regexp_extract("text", r"(?md)^#{1,6}[ \t]+(.+)$", 1))).alias("title"), F.round(F.length("text") / F.greatest(words, F.lit(1)), 6).alias("chars_per_word"))
+    return rows.select("doc_id", F.lower(T.bare(F.regexp_extract("text", r"(?md)^#{1,6}[ \t]+(.+)$", 1))).alias("title"), F.round(F.length("text") / F.greatest(words, F.lit(1)), 6).alias("chars_per_word"))
 
 
 @query("""

@@ -202,3 +202,43 @@ def test_findings(spark):
     assert {x.id: (x.r.action, x.r.target) for x in r.collect()} == {1: ("escalate", None), 2: ("escalate", None), 3: ("drop_duplicate", "b")}
     with pytest.raises(ValueError):
         findings.resolution(*[F.lit("")] * 5, "other")
+
+
+def test_a_span_just_behind_an_edit_keeps_its_end(spark, tmp_path):
+    """The new start of a span must not stand in for the old one when its end is computed."""
+    from lakeloom.plans import catalog
+
+    rows = [(1, "0123456789abcdef", 9, 12), (2, "0123456789abcdef", 6, 12), (3, "short", 9, 12), (4, None, 9, 12)]
+    spark.createDataFrame(rows, "claim_id long, text string, char_start int, char_end int").write.parquet(f"{tmp_path}/claim_refs.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["edited_claims"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "X123489abcdef", 6, 9), (2, "X123489abcdef", None, None)}
+
+
+def test_bundles_publish_whole_generations(spark, tmp_path):
+    from lakeloom.sources import bundles
+
+    base = f"file://{tmp_path}/store"
+    bundles.publish({"a": spark.range(3)}, base, {"v": 1})
+    bundles.publish({"a": spark.range(5), "b": spark.range(1)}, base, {"v": 2})
+    got = bundles.load(spark, base, {"v": 2})
+    assert got["a"].count() == 5 and sorted(got) == ["a", "b"]
+    with pytest.raises(ValueError):
+        bundles.load(spark, base, {"v": 1})
+
+
+def test_queries_are_prepared(spark):
+    from lakeloom.functions import queryprep
+
+    p = queryprep.prepared(F.lit("Який нaказ діє?").cast("string"), {"наказ": ["розпорядження"]})
+    r = one(spark, p=p, none=queryprep.prepared(F.lit(None).cast("string"), {"наказ": []}))
+    assert r.p.text == "який наказ діє розпорядження" and [(x.step, x.original, x.replacement) for x in r.p.log] == [("repair", "нaказ", "наказ"), ("glossary", "", "розпорядження")]
+    assert r.none.text == "" and r.none.log == []
+
+
+def test_imported_squad_records(spark):
+    from lakeloom.sources import bundles
+
+    qa = "struct<id:string,question:string,answers:array<struct<text:string,answer_start:int>>>"
+    rows = [("d", [("один два один", [("q1", "?", [("один", 9)]), ("q2", "?", [("", 0), ("два", 0)]), ("q3", "?", [("три", 0)]), ("q4", "?", [])])])]
+    df = spark.createDataFrame(rows, f"title string, paragraphs array<struct<context:string,qas:array<{qa}>>>")
+    assert {(r.id, r.char_start, r.char_end) for r in bundles.squad_items(df).collect()} == {("q1", 9, 13), ("q2", 5, 8)}
