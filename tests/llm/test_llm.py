@@ -434,7 +434,7 @@ def test_skip_grams_bring_words_of_like_context_together():
     rng = np.random.default_rng(0)
     ids = np.concatenate([[0, 2, 4] if x else [1, 3, 5] for x in rng.random(3000) < 0.5])
     counts = np.bincount(ids, minlength=6).astype(float)
-    inner, outer = scans.local_skip_grams(ids, counts)
+    inner, outer = scans.local_skip_grams(scans.context_pairs(ids, 6), counts)
     assert (inner[0] @ outer[2]) > (inner[0] @ outer[3]) and (inner[1] @ outer[3]) > (inner[1] @ outer[2])
 
 
@@ -456,6 +456,14 @@ def test_pages_without_a_document_are_kept_apart(spark):
     assert len(got) == 35 and got[100].doc_id is None
 
 
+def test_pairs_of_two_stretches_add_up():
+    rng = np.random.default_rng(3)
+    a, b = (np.append(rng.integers(-1, 9, 400), [-1, -1]) for _ in range(2))
+    key, n = scans.added_pairs(scans.context_pairs(a, 9), scans.context_pairs(b, 9))
+    whole = scans.context_pairs(np.concatenate([a, b]), 9)
+    assert (key == whole[0]).all() and (n == whole[1]).all()
+
+
 def test_misreadings():
     assert scans.is_reading("технічннх", "технічних") and not scans.is_reading("технічних", "технічних") and not scans.is_reading("технічнох", "технічних")
     assert scans.plain_form("нав4альних") == "навчальних" and scans.plain_form("затверд>кує") == "затверджує" and scans.plain_form("арку|||ів") == "аркушів"
