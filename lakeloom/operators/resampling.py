@@ -7,8 +7,14 @@ times items; for large groups ``poisson_means`` needs one pass and no order.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .running import running_sums
 
@@ -28,19 +34,95 @@ def poisson_times(number: Column) -> Column:
     return sum([(u > s).cast("int") for s in _POISSON[1:]], (u > _POISSON[0]).cast("int"))
 
 
+#: fixed values: shifts and constants of md5
+_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(i + 1)) * (1 << 32)) for i in range(64)]
+#: Draws hashed at a time, items a row holds, draws a task should make.
+CHUNK, PACK, SHARE = 1 << 14, 1 << 16, 1 << 24
+#: Most tasks that the draws of a large group are shared by; each is sent the group's values.
+MOST_PARTS = 32
+
+
+def _first_word(words: dict[int, np.ndarray | int], size: int) -> np.ndarray:
+    """First 32 bits of the md5 of messages of one block each, all of ``size`` bytes, given as words (absent ones are 0)."""
+    m, n = words | {14: size * 8}, next(len(w) for w in words.values() if isinstance(w, np.ndarray))
+    start, b, c, d = (np.full(n, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    a = start
+    for i in range(64):
+        if i < 16:
+            f, g = ((c ^ d) & b) ^ d, i
+        elif i < 32:
+            f, g = ((b ^ c) & d) ^ c, (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = (b | ~d) ^ c, 7 * i % 16
+        w, s = m.get(g, 0), np.uint32(_SHIFTS[i // 16][i % 4])
+        f += a
+        if isinstance(w, np.ndarray):
+            f += w
+            w = 0
+        f += np.uint32((_SINES[i] + w) & 0xFFFFFFFF)
+        high = f << s
+        f >>= np.uint32(32) - s
+        high |= f
+        high += b
+        a, d, c, b = d, c, b, high
+    return (a + start).byteswap()
+
+
+def drawn_numbers(seed: int, replicates: list[int], lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``hashed_number`` of seed, replicate and every draw from ``lo`` to below ``hi``, in stretches: (place in ``replicates``, numbers)."""
+    while lo < hi:
+        digits = len(str(lo))
+        end = min(hi, lo + CHUNK, 10**digits)
+        # the digits and the end mark as bytes, and as words for each place within a word at which they may begin
+        x, text = np.arange(lo, end), np.full((end - lo, digits + 1), 0x80, np.uint8)
+        for k in range(digits):
+            text[:, digits - 1 - k] = 48 + x // 10**k % 10
+        placed: dict[int, list[np.ndarray]] = {}
+        for at, r in enumerate(replicates):
+            prefix = f"{seed}-{r}-".encode()
+            whole, begun = divmod(len(prefix), 4)
+            assert len(prefix) + digits < 56
+            if begun not in placed:
+                room = np.zeros((end - lo, -(-(begun + digits + 1) // 4) * 4), np.uint8)
+                room[:, begun : begun + digits + 1] = text
+                placed[begun] = [w.copy() for w in room.view("<u4").T]
+            words: dict[int, np.ndarray | int] = {i: int.from_bytes(prefix[4 * i : 4 * i + 4], "little") for i in range(whole)}
+            words |= {whole + i: w for i, w in enumerate(placed[begun])}
+            if begun:
+                words[whole] = words[whole] | np.uint32(int.from_bytes(prefix[4 * whole :], "little"))
+            yield at, _first_word(words, len(prefix) + digits)
+        lo = end
+
+
 def bootstrap_items(df: DataFrame, group: str, key: str, value: str, resamples: int, seed: int = 13) -> DataFrame:
     """``group, replicate, mean``: each replicate draws as many items of the group as it has, with replacement.
 
-    Null values are no items; every group has all its replicates. Keys must be distinct within a group.
+    Null values are no items; every group has all its replicates. Keys must be distinct within a group. The draws are
+    never rows: a task has the values of a group and makes some of its replicates, so values are all that is shuffled.
     """
     w = Window.partitionBy(group).orderBy(key)
     items = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), (F.row_number().over(w) - 1).alias("i"))
-    sizes = items.groupBy("g").agg(F.count("*").alias("n"))
-    draws = sizes.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate")).select("g", "n", "replicate", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("draw"))
-    at = draws.select("g", "replicate", F.pmod(hashed_number(F.lit(str(seed)), F.col("replicate"), F.col("draw")), F.col("n")).cast("int").alias("i"))
-    counted = at.groupBy("g", "replicate", "i").agg(F.count("*").alias("times"))  # equal draws meet their item once
-    one = counted.alias("x").join(items.alias("y"), F.col("x.g").eqNullSafe(F.col("y.g")) & (F.col("x.i") == F.col("y.i"))).select("x.g", "replicate", "times", "v")
-    return one.groupBy("g", "replicate").agg(F.round(F.sum(F.col("times") * F.col("v")) / F.sum("times"), 6).alias("mean")).withColumnRenamed("g", group).withColumn("replicate", F.col("replicate").cast("long"))
+    packs = items.groupBy("g", F.floor(F.col("i") / PACK).alias("pack")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vs"))
+    sized = packs.withColumn("n", F.sum(F.size("vs")).over(Window.partitionBy("g")))
+    parts = F.least(F.lit(MOST_PARTS), F.lit(resamples), F.ceil(F.col("n") * resamples / SHARE)).cast("int")
+    rows = sized.select("g", "pack", "vs", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    kind = items.schema["g"].dataType
+
+    def means(packed: pa.Table) -> pa.Table:
+        packed = packed.sort_by("pack")
+        v = np.concatenate([c.flatten().to_numpy() for c in packed["vs"].chunks])
+        replicates = list(range(packed["part"][0].as_py(), resamples, packed["parts"][0].as_py()))
+        sums, n = np.zeros(len(replicates)), np.uint32(len(v))
+        for at, h in drawn_numbers(seed, replicates, 0, len(v)):
+            sums[at] += v[h - h // n * n].sum()
+        g = pa.concat_arrays([packed["g"].chunk(0).slice(0, 1)] * len(replicates))
+        return pa.table({"g": g, "replicate": pa.array(replicates, pa.int64()), "mean": pa.array(sums / len(v))})
+
+    drawn = rows.groupBy("g", "part").applyInArrow(means, StructType([StructField("g", kind), StructField("replicate", LongType()), StructField("mean", DoubleType())]))
+    return drawn.select(F.col("g").alias(group), "replicate", F.round("mean", 6).alias("mean"))
 
 
 def poisson_means(df: DataFrame, group: str, key: str, value: str, resamples: int, seed: int = 13) -> DataFrame:
