@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import boards, resampling
+from ..staging import stage
 from ..tables import table
 from .corpus_queries import query
 
@@ -34,7 +35,7 @@ WITH s AS (SELECT list_sort(list(mean)) s, len(list(mean)) n FROM ({_BOOT}))
 SELECT 'nearest' AS kind, s[CAST(round_even(0.025 * (n - 1), 0) AS BIGINT) + 1] AS low, s[least(CAST(round_even(0.975 * (n - 1), 0) AS BIGINT), n - 1) + 1] AS high FROM s
 UNION ALL SELECT 'truncated', s[CAST(floor(0.025 * n) AS BIGINT) + 1], s[least(CAST(floor(0.975 * n) AS BIGINT), n - 1) + 1] FROM s""")
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    samples = bootstrap_references(spark, d).withColumn("g", F.lit("all"))
+    samples = stage(bootstrap_references(spark, d).withColumn("g", F.lit("all")), "replicates")  # read by both kinds
     parts = [resampling.percentile_interval(samples, "g", "mean", truncated=t).select(F.lit(k).alias("kind"), "low", "high") for k, t in (("nearest", False), ("truncated", True))]
     return parts[0].union(parts[1])
 
