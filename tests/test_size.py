@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import resampling
+from lakeloom.operators import resampling, typos
 
 
 def plan(df):
@@ -29,3 +29,23 @@ def test_bootstrap_of_packed_and_parted_groups(spark, monkeypatch):
     got = {x.replicate: x.mean for x in resampling.bootstrap_items(df, "g", "id", "v", 20).collect()}
     number = lambda r, x: int(hashlib.md5(f"13-{r}-{x}".encode()).hexdigest()[:8], 16)
     assert got == {r: round(sum(3.0 * (number(r, x) % 50) for x in range(50)) / 50, 6) for r in range(20)}
+
+
+def test_corrections_equal_all_pairs_and_long_words_cost_nothing(spark):
+    import random  # noqa: PLC0415
+
+    draw = random.Random(3)
+    letters = "абвг'7"
+    word = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    words = {word(n) for n in range(1, 14) for _ in range(60)} | {"а" * 9000}  # 40 million reductions of that one
+    tokens = {word(n) for n in range(2, 13) for _ in range(30)} | {w[1:] for w in sorted(words)[::9] if len(w) < 20} | {w[1:4] + w[5:] for w in sorted(words)[::5] if 10 < len(w) < 20} | {w[:3] + w[4:5] + w[3:4] + w[5:] for w in sorted(words)[::7] if 5 < len(w) < 20}
+    got = {r.token: (r.distance, r.nearest) for r in typos.nearest_words(*(spark.createDataFrame([(w,) for w in sorted(x)], "token string") for x in (tokens, words))).collect()}
+    plain = lambda w: w.replace("'", "").isalpha()
+    want = {}
+    for t in tokens:
+        if len(t.replace("'", "")) >= typos.LEAST and not t.isdigit():
+            most = 2 if len(t) > typos.LONG else 1
+            near = [(d, w) for w in words if abs(len(w) - len(t)) <= most and plain(w) == plain(t) and (d := typos.edit_distance(t, w)) <= most]
+            if near:
+                want[t] = min(near)
+    assert got == want and len(want) > 100 and {d for d, _ in got.values()} == {0, 1, 2}
