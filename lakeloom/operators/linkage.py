@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,144 @@ def patterns(pairs: DataFrame, fields: list[str]) -> DataFrame:
     return pairs.groupBy(*fields).agg(F.count("*").alias("n"))
 
 
+#: Tasks at most that count a group, each sent all of it; pairs of rows that one should have.
+MOST_PARTS, PAIRS = 16, 1 << 24
+
+
+class _Equal:
+    """Levels of one value against all: 1 if equal, -1 if either is missing. Values are numbered, missing is -1."""
+
+    levels = 3
+
+    def __init__(self, values: pd.Series) -> None:
+        self.at, self.values = pd.factorize(values)
+
+    def row(self, k: int) -> np.ndarray:
+        """Level + 1 of the value numbered ``k`` against every distinct value, then against a missing one."""
+        out = np.zeros(len(self.values) + 1, np.int64)
+        if k >= 0:
+            out[:-1] = 1
+            self.fill(k, out)
+        return out
+
+    def fill(self, k: int, out: np.ndarray) -> None:
+        out[k] = 2
+
+
+class _Edited(_Equal):
+    """Texts: 2 if equal, 1 within one insertion, deletion or substitution."""
+
+    levels = 4
+
+    def __init__(self, values: pd.Series) -> None:
+        super().__init__(values)
+        self.exact, self.holes = {v: i for i, v in enumerate(self.values)}, defaultdict(list)
+        for i, v in enumerate(self.values):
+            for j in range(len(v)):
+                self.holes[v[:j], v[j + 1 :]].append(i)  # without the letter at this place
+
+    def fill(self, k: int, out: np.ndarray) -> None:
+        v = self.values[k]
+        for j in range(len(v) + 1):
+            out[self.holes.get((v[:j], v[j:]), [])] = 2  # one letter more here
+            if j < len(v):
+                out[self.holes[v[:j], v[j + 1 :]]] = 2  # another letter here
+                if v[:j] + v[j + 1 :] in self.exact:
+                    out[self.exact[v[:j] + v[j + 1 :]]] = 2
+        out[k] = 3
+
+
+class _Sets(_Equal):
+    """Sets, as sorted words with spaces between: 2 if they share ``jaccard`` of both, 1 if ``containment`` of the smaller."""
+
+    levels = 4
+
+    def __init__(self, values: pd.Series, jaccard: float, containment: float) -> None:
+        super().__init__(values)
+        self.least, self.sets = (jaccard, containment), [v.split() for v in self.values]
+        self.sizes, self.having = np.array([len(s) for s in self.sets], np.int64), defaultdict(list)
+        for i, s in enumerate(self.sets):
+            for w in s:
+                self.having[w].append(i)
+
+    def fill(self, k: int, out: np.ndarray) -> None:
+        both = np.zeros(len(self.sets), np.int64)
+        for w in self.sets[k]:
+            both[self.having[w]] += 1
+        union, small = self.sizes + len(self.sets[k]) - both, np.minimum(self.sizes, len(self.sets[k]))
+        out[:-1][(small > 0) & (both >= self.least[1] * small)] = 2
+        out[:-1][(union > 0) & (both >= self.least[0] * union)] = 3
+
+
+def _ordered_counts(rows: pd.DataFrame, jaccard: float, containment: float, days: list[int], part: int, parts: int) -> dict[tuple[int, ...], int]:
+    """Ordered pairs of rows, without those of a row and itself, by levels of language, version, day and name: those whose
+    first row's profile (all but the day) is one of this part. ``rows`` has a count ``n``.
+    """
+    fields = [_Equal(rows["language"]), _Edited(rows["version"]), _Sets(rows["name"], jaccard, containment)]
+    codes, first = np.unique(np.stack([f.at for f in fields]), axis=1, return_inverse=True)
+    first, n = first.ravel(), rows["n"].to_numpy(np.int64)
+    day = rows["day"].to_numpy(np.float64)
+    has = ~np.isnan(day)
+    sums = lambda at, w, k: np.bincount(at, w, k).astype(np.int64)  # noqa: E731  (exact below 2^53)
+    every, dated = sums(first, n, codes.shape[1]), sums(first[has], n[has], codes.shape[1])
+    order = np.flatnonzero(has)[np.argsort(day[has], kind="stable")]
+    day, of, n = day[order], first[order], n[order]
+    by_profile = np.argsort(of, kind="stable")
+    begins = np.searchsorted(of[by_profile], np.arange(codes.shape[1] + 1))
+    edges = [(np.searchsorted(day, day - w, "left"), np.searchsorted(day, day + w, "right")) for w in days]
+    kinds = fields[0].levels * fields[1].levels * fields[2].levels
+    out: dict[tuple[int, ...], int] = defaultdict(int)
+    for p in range(part, codes.shape[1], parts):
+        code = np.zeros(codes.shape[1], np.int64)
+        for f, k, at in zip(fields, codes[:, p], codes):
+            code = code * f.levels + f.row(k)[at]
+        both = sums(code, dated, kinds) * dated[p]
+        within = []
+        for lo, hi in edges:
+            w = np.zeros(kinds, np.int64)
+            for c in by_profile[begins[p] : begins[p + 1]]:
+                w += n[c] * sums(code[of[lo[c] : hi[c]]], n[lo[c] : hi[c]], kinds)
+            w[code[p]] -= dated[p]
+            within.append(w)
+        either = sums(code, every, kinds) * every[p] - both
+        either[code[p]] -= every[p] - dated[p]
+        both[code[p]] -= dated[p]
+        # levels of the day from the nearest: what a window has more than the one within it
+        nested = [within[0], *[b - a for a, b in zip(within, within[1:])], both - within[-1]]
+        for level, counts in [(-1, either), *((len(days) - i, c) for i, c in enumerate(nested))]:
+            for k in np.flatnonzero(counts):
+                a, bc = divmod(int(k), fields[1].levels * fields[2].levels)
+                b, c = divmod(bc, fields[2].levels)
+                out[a - 1, b - 1, level, c - 1] += int(counts[k])
+    return out
+
+
+def counted_patterns(df: DataFrame, key: str, block: str, language: str, version: str, day: str, words: str, jaccard: float, containment: float, days: list[int]) -> DataFrame:
+    """``language, version, dated, name, n``: ``patterns`` of all pairs of rows of a block whose keys differ, without making the pairs.
+
+    Rows of equal values are one with a count. Every distinct language, version and set of words (a profile) is compared
+    with every other; dates only with those within the largest of ``days`` (ascending), for the rest follow from sums.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col(block).isNotNull()).select(
+        F.col(key).alias("key"), F.col(block).alias("block"), F.col(language).alias("language"), F.col(version).alias("version"), F.unix_date(F.to_date(day)).alias("day"), F.when(F.col(words).isNotNull(), F.array_join(F.array_sort(words), " ")).alias("name")
+    )
+    cells = rows.groupBy("block", "language", "version", "day", "name").agg(F.count("*").alias("n")).withColumn("sign", F.lit(1)).withColumn("key", F.lit(None).cast(rows.schema["key"].dataType))
+    again = rows.groupBy("block", "key").agg(F.count("*").alias("k")).where("k > 1").select("block", "key")
+    # pairs of one key don't count
+    same = rows.join(again, ["block", "key"]).groupBy("block", "language", "version", "day", "name", "key").agg(F.count("*").alias("n")).withColumn("sign", F.lit(-1))
+    whole = cells.select(*same.columns).union(same)
+    size = whole.groupBy("block", "key").agg(F.least(F.lit(MOST_PARTS), F.ceil(F.count("*") * F.count("*") / PAIRS)).cast("int").alias("parts"))
+    sized = whole.alias("x").join(size.alias("y"), (F.col("x.block") == F.col("y.block")) & F.col("x.key").eqNullSafe(F.col("y.key"))).select("x.*", "parts")
+    shared = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _ordered_counts(pdf, jaccard, containment, days, int(pdf["part"].iat[0]), int(pdf["parts"].iat[0]))
+        return pd.DataFrame([(*k, n * int(pdf["sign"].iat[0])) for k, n in found.items()], columns=["language", "version", "dated", "name", "n"])
+
+    counted = shared.groupBy("block", "key", "part").applyInPandas(run, "language int, version int, dated int, name int, n long")
+    return counted.groupBy("language", "version", "dated", "name").agg(F.expr("sum(n) div 2").alias("n")).where("n > 0")
+
+
 #: Patterns that may reach the driver: levels of the fields multiplied.
 MOST_PATTERNS = 1_000_000
 

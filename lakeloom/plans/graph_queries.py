@@ -159,6 +159,11 @@ def chunk_block_kinds(spark: SparkSession, d: str) -> DataFrame:
     return w.select("page_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
 
 
+def _editions(spark: SparkSession, d: str) -> DataFrame:
+    words = F.array_distinct(F.regexp_extract_all(F.lower("doc_id"), F.lit("[a-z]+"), F.lit(0)))
+    return table(spark, d, "corpus_manifest").select("doc_id", "source_system", "language", "version", F.when(F.col("effective_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("effective_date")).alias("dt"), words.alias("w"))
+
+
 @query("""
 WITH m AS (SELECT doc_id, source_system, language, version, effective_date dt, regexp_extract_all(lower(doc_id), '[a-z]+') w FROM corpus_manifest),
 p AS (SELECT a.doc_id l, b.doc_id r, a.language la, b.language lb, a.version va, b.version vb, a.w wa, b.w wb,
@@ -170,8 +175,7 @@ SELECT l AS left_id, r AS right_id, CASE WHEN la IS NULL OR lb IS NULL THEN -1 W
  CASE WHEN i >= 0.9 * (x + y - i) THEN 2 WHEN i >= 0.7 * least(x, y) THEN 1 ELSE 0 END AS name FROM q""")
 def agreement_levels(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of files of one source system, and how well their fields agree."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("doc_id"), F.lit("[a-z]+"), F.lit(0)))
-    m = table(spark, d, "corpus_manifest").select("doc_id", "source_system", "language", "version", F.when(F.col("effective_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("effective_date")).alias("dt"), words.alias("w"))
+    m = _editions(spark, d)
     a, b = (m.select("source_system", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "language", "version", "dt", "w")]) for x in "lr")
     p = a.join(b, "source_system").where("doc_id_l < doc_id_r")
     c = lambda n: (F.col(f"{n}_l"), F.col(f"{n}_r"))
@@ -185,7 +189,8 @@ _FIELDS = ["language", "version", "dated", "name"]
 
 
 def agreement_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.patterns(agreement_levels(spark, d), _FIELDS)
+    """What ``linkage.patterns`` has of ``agreement_levels``, without its pairs."""
+    return linkage.counted_patterns(_editions(spark, d), "doc_id", "source_system", "language", "version", "dt", "w", 0.9, 0.7, [30, 365])
 
 
 _MODEL = {"language": {0: (0.1, 0.5), 1: (0.9, 0.5)}, "version": {0: (0.2, 0.9), 1: (0.1, 0.05), 2: (0.7, 0.05)}, "dated": {0: (0.3, 0.8), 1: (0.3, 0.15), 2: (0.4, 0.05)}, "name": {0: (0.2, 0.7), 1: (0.3, 0.2), 2: (0.5, 0.1)}}

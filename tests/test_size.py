@@ -4,7 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import resampling, typos
+from lakeloom.operators import linkage, resampling, typos
+from lakeloom.plans import graph_queries
 
 
 def plan(df):
@@ -49,3 +50,18 @@ def test_corrections_equal_all_pairs_and_long_words_cost_nothing(spark):
             if near:
                 want[t] = min(near)
     assert got == want and len(want) > 100 and {d for d, _ in got.values()} == {0, 1, 2}
+
+
+def test_patterns_without_pairs(spark, tmp_path):
+    import random  # noqa: PLC0415
+
+    draw = random.Random(5)
+    pick = lambda *x: draw.choice(x)
+    names = [pick("a/b-", "a/c-", "a/b/c/d-", "7-") + str(draw.randrange(150)) for _ in range(300)] + [None]  # some occur twice
+    rows = [(n, pick("x", "y", None), pick("uk", "en", None), pick("1.0", "1.1", "11.0", "2", "01.1", "", None), pick(f"20{draw.randrange(10, 13)}-{draw.randrange(1, 13):02}-{draw.randrange(1, 29):02}", "2011", None)) for n in names]
+    spark.createDataFrame(rows, "doc_id string, source_system string, language string, version string, effective_date string").write.parquet(str(tmp_path / "corpus_manifest.parquet"))
+    found = graph_queries.agreement_patterns(spark, str(tmp_path))
+    fields = graph_queries._FIELDS
+    want = linkage.patterns(graph_queries.agreement_levels(spark, str(tmp_path)), fields)
+    plainly = lambda df: {tuple(r[f] for f in fields): r["n"] for r in df.collect()}
+    assert "doc_id_l" not in plan(found) and plainly(found) == plainly(want) and len(plainly(want)) > 40
