@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import linkage, resampling, typos
+from lakeloom.operators import linkage, ranking, resampling, typos
 from lakeloom.plans import graph_queries
 
 
@@ -65,3 +65,29 @@ def test_patterns_without_pairs(spark, tmp_path):
     want = linkage.patterns(graph_queries.agreement_levels(spark, str(tmp_path)), fields)
     plainly = lambda df: {tuple(r[f] for f in fields): r["n"] for r in df.collect()}
     assert "doc_id_l" not in plan(found) and plainly(found) == plainly(want) and len(plainly(want)) > 40
+
+
+def test_lexical_search_sums_in_blocks(spark, monkeypatch):
+    import math  # noqa: PLC0415
+    import random  # noqa: PLC0415
+    from collections import Counter  # noqa: PLC0415
+
+    monkeypatch.setattr(ranking, "BLOCKS", 3)
+    monkeypatch.setattr(ranking, "QUERIES", 4)
+    draw = random.Random(7)
+    text = lambda n: " ".join(draw.choice("abcdefghijkl") * draw.choice((1, 1, 1, 2)) for _ in range(n))
+    chunks = [(i, text(draw.randrange(1, 9))) for i in range(900)] + [(i, "a b") for i in range(900, 990)] + [(990, "!")]
+    asked = [(f"q{i}", text(draw.randrange(1, 6))) for i in range(9)] + [("qa", "a b"), ("none", "zzz")]
+    found = ranking.bm25(spark.createDataFrame(chunks, "chunk_id long, text string"), spark.createDataFrame(asked, "query_id string, text string"), 10)
+    docs = {i: Counter(t.split()) if t != "!" else Counter() for i, t in chunks}
+    mean, df = sum(d.total() for d in docs.values()) / len(docs), Counter(w for d in docs.values() for w in d)
+    want = {}
+    for q, t in asked:
+        scores = {}
+        for i, d in docs.items():
+            if common := set(t.split()) & set(d):
+                scores[i] = round(sum(t.split().count(w) * math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * d[w] * 2.5 / (d[w] + 1.5 * (0.25 + 0.75 * d.total() / mean)) for w in common), 6)
+        want |= {(q, r): x for r, x in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10], 1)}
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in found.collect()}
+    assert "FlatMapCoGroupsInArrow" in plan(found)
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
