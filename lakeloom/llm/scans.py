@@ -177,7 +177,10 @@ class Words:
         self.most = max(counts.values(), default=0)
         size = np.linalg.norm(inner, axis=1, keepdims=True) if len(inner) else inner
         self.unit = np.divide(inner, size, out=np.zeros_like(inner), where=size > 0)
-        self.firsts = {c.split("-")[0] for c in compounds}
+        self.seconds: dict[str, list[str]] = {}  # of compounds, by their first words
+        for c in compounds:
+            a, _, b = c.partition("-")
+            self.seconds.setdefault(a, []).append(b)
         self.known: dict[str, list[str]] = {}
         self.state: dict[str, int] = {}
         self.fine: set[str] = set()
@@ -371,7 +374,8 @@ def learn(pages: DataFrame, first: DataFrame) -> Words:
     least = max(MIN_COUNT, int(MIN_SHARE * total))
     rows = counted.where((F.col("kind") == "w") & (F.col("n") >= least)).orderBy(F.desc("n"), "word").collect()  # at most 1 / MIN_SHARE rows
     counts = {r["word"]: r["n"] for r in rows}
-    compounds = {r["word"] for r in counted.where((F.col("kind") == "c") & (F.col("n") >= max(2, least // 10))).orderBy(F.desc("n"), "word").limit(int(1 / MIN_SHARE)).collect()}
+    # a compound ends with a word of its own, so that at most total / max(2, least // 10) < 800,000 rows are left
+    compounds = {r["word"] for r in counted.where((F.col("kind") == "c") & (F.col("n") >= max(2, least // 10))).select("word").collect()}
     index = spark.sparkContext.broadcast({w: i for i, w in enumerate(counts)})
     sizes = np.array(list(counts.values()), np.float64)
     names = [f"v{i}" for i in range(2 * DIM)]
@@ -497,7 +501,7 @@ def _is_cut(words: Words, left: str, mark: str, right: str) -> bool:
         return False
     if a + b in words.counts:
         return True
-    return not (a in words.firsts and len(a) > 3 and any(c.startswith(f"{a}-{b[:4]}") for c in words.compounds))
+    return not (len(a) > 3 and any(c.startswith(b[:4]) for c in words.seconds.get(a, ())))
 
 
 class Repaired:
