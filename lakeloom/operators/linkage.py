@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,6 +213,78 @@ def counted_patterns(df: DataFrame, key: str, block: str, language: str, version
     return counted.groupBy("language", "version", "dated", "name").agg(F.expr("sum(n) div 2").alias("n")).where("n > 0")
 
 
+#: Rows on either side of a tile, which is what a task pairs at a time; pairs in a batch.
+SIDE, BATCH = 2048, 1 << 15
+
+
+def _tiles(df: DataFrame, key: str, block: str) -> DataFrame:
+    """``left, right``: arrays of at most SIDE rows in order of the key. Any two rows of a block meet in one tile, the later one on the right."""
+    rows = df.where(F.col(key).isNotNull() & F.col(block).isNotNull())
+    rest = [c for c in rows.columns if c not in (key, block)]
+    w = Window.partitionBy(block).orderBy(key, *rest)
+    cut = rows.withColumn("g", F.floor((F.row_number().over(w) - 1) / SIDE)).groupBy(block, "g").agg(F.sort_array(F.collect_list(F.struct(key, *rest))).alias("rows"))
+    a, b = (cut.select(F.col(block).alias("b"), F.col("g").alias(f"g_{x}"), F.col("rows").alias(x)) for x in ("left", "right"))
+    k = F.ceil(F.col("n") / SIDE)
+    n = rows.groupBy(block).agg(F.count("*").alias("n")).agg(F.sum(k * (k + 1) / 2)).first()[0]
+    return a.join(b, "b").where("g_left <= g_right").select("left", "right").repartition(int(min(max(n or 1, 1), MOST_TASKS)))
+
+
+#: Tasks that tiles are dealt to; with more tiles a task has several.
+MOST_TASKS = 20_000
+
+
+def _compared(left: pa.StructArray, right: pa.StructArray, jaccard: float, containment: float, days: list[int]) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray]]]:
+    """Batches of a tile's pairs: both keys, and the levels + 1 of language, version, day and name."""
+    (a, *fa), (b, *fb) = left.flatten(), right.flatten()
+    language, version, day, name = (pa.concat_arrays(x).to_pandas() for x in zip(fa, fb))
+    m, n, tables = len(a), len(b), []
+    for f in (_Equal(language), _Edited(version), _Sets(name, jaccard, containment)):
+        kinds, at = np.unique(f.at[:m], return_inverse=True)
+        tables.append((np.stack([f.row(k)[f.at[m:]].astype(np.int8) for k in kinds]), at.ravel()))
+    day, keys = day.to_numpy(np.float64), b.to_pylist()
+    begins = np.array([bisect_right(keys, k) for k in a.to_pylist()])  # ascending, as are the keys
+    i = 0
+    while i < m and begins[i] < n:
+        lo = begins[i]
+        j = min(m, i + max(1, BATCH // (n - lo)))
+        apart = np.abs(day[i:j, None] - day[None, m + lo :])
+        dated = (apart == apart).astype(np.int8)  # 0 if either is missing
+        for d in days:
+            dated += apart <= d
+        first, second, third = (t[at[i:j], lo:] for t, at in tables)
+        levels = [x.ravel() for x in (first, second, dated, third)]
+        if begins[j - 1] > lo:
+            later = (np.arange(lo, n) >= begins[i:j, None]).ravel()
+            levels = [x[later] for x in levels]
+        yield a.take(pa.array(np.repeat(np.arange(i, j), n - begins[i:j]))), pa.concat_arrays([b.slice(k) for k in begins[i:j]]), levels
+        i = j
+
+
+def compared_pairs(df: DataFrame, key: str, block: str, language: str, version: str, day: str, words: str, jaccard: float, containment: float, days: list[int], weights: np.ndarray | None = None) -> DataFrame:
+    """``left_id, right_id, language, version, dated, name``: all pairs of rows of a block, the lesser key on the left, and their levels.
+
+    With ``weights`` of every pattern (``pattern_weights``) these, as ``match_weight``, stand in place of the levels. Values are
+    compared once for each two distinct ones of a tile, so a pair costs a look-up; tiles are alike in size, however large a block is.
+    """
+    rows = df.select(
+        key, block, F.col(language).alias("language"), F.col(version).alias("version"), F.unix_date(F.to_date(day)).alias("day"), F.when(F.col(words).isNotNull(), F.array_join(F.array_sort(words), " ")).alias("name")
+    )
+    flat = None if weights is None else weights.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(*batch.columns):
+                for a, b, levels in _compared(left.values, right.values, jaccard, containment, days):
+                    if flat is None:
+                        out = dict(zip(("language", "version", "dated", "name"), (np.subtract(x, 1, dtype=np.int32) for x in levels)))
+                    else:
+                        out = {"match_weight": flat[np.ravel_multi_index(levels, weights.shape)]}
+                    yield pa.RecordBatch.from_pydict({"left_id": a, "right_id": b, **out})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return _tiles(rows, key, block).mapInArrow(run, f"left_id {kind}, right_id {kind}, " + ("language int, version int, dated int, name int" if weights is None else "match_weight double"))
+
+
 #: Patterns that may reach the driver: levels of the fields multiplied.
 MOST_PATTERNS = 1_000_000
 
@@ -262,6 +339,17 @@ def match_weight(model: dict[str, dict[int, tuple[float, float]]], prior: float)
     return out
 
 
+def pattern_weights(model: dict[str, dict[int, tuple[float, float]]], highest: list[int], prior: float) -> np.ndarray:
+    """``match_weight`` of every pattern, rounded to 6 digits as Spark rounds. ``highest``: levels of the model's fields; an axis begins at level -1."""
+    out = np.empty([k + 2 for k in highest])
+    for levels in product(*[range(-1, k + 1) for k in highest]):
+        w = math.log2(prior / (1 - prior))
+        for k, rates in zip(levels, model.values()):
+            w += math.log2(rates[k][0] / rates[k][1]) if k in rates else 0.0
+        out[tuple(k + 1 for k in levels)] = Decimal(repr(w)).quantize(Decimal("1e-6"), ROUND_HALF_UP)
+    return out
+
+
 def accuracy_curve(df: DataFrame, label: Column, score: str) -> DataFrame:
     """``threshold, tp, fp, tn, fn, precision, recall, f1`` at every distinct score, pairs at or above it taken as matches."""
     cells = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(label.cast("long")).alias("p"), F.count("*").alias("n"))

@@ -164,6 +164,10 @@ def _editions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus_manifest").select("doc_id", "source_system", "language", "version", F.when(F.col("effective_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("effective_date")).alias("dt"), words.alias("w"))
 
 
+#: Columns and thresholds of a comparison.
+_COMPARED = ("doc_id", "source_system", "language", "version", "dt", "w", 0.9, 0.7, [30, 365])
+
+
 @query("""
 WITH m AS (SELECT doc_id, source_system, language, version, effective_date dt, regexp_extract_all(lower(doc_id), '[a-z]+') w FROM corpus_manifest),
 p AS (SELECT a.doc_id l, b.doc_id r, a.language la, b.language lb, a.version va, b.version vb, a.w wa, b.w wb,
@@ -190,7 +194,7 @@ _FIELDS = ["language", "version", "dated", "name"]
 
 def agreement_patterns(spark: SparkSession, d: str) -> DataFrame:
     """What ``linkage.patterns`` has of ``agreement_levels``, without its pairs."""
-    return linkage.counted_patterns(_editions(spark, d), "doc_id", "source_system", "language", "version", "dt", "w", 0.9, 0.7, [30, 365])
+    return linkage.counted_patterns(_editions(spark, d), *_COMPARED)
 
 
 _MODEL = {"language": {0: (0.1, 0.5), 1: (0.9, 0.5)}, "version": {0: (0.2, 0.9), 1: (0.1, 0.05), 2: (0.7, 0.05)}, "dated": {0: (0.3, 0.8), 1: (0.3, 0.15), 2: (0.4, 0.05)}, "name": {0: (0.2, 0.7), 1: (0.3, 0.2), 2: (0.5, 0.1)}}
@@ -214,7 +218,7 @@ def agreement_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT left_id, right_id, round(log2(0.01 / 0.99) + {_weights()}, 6) AS match_weight FROM ({_levels_sql()})")
 def replayed_linkage(spark: SparkSession, d: str) -> DataFrame:
     """Pairs weighed anew by a saved model."""
-    return agreement_levels(spark, d).select("left_id", "right_id", F.round(linkage.match_weight(_MODEL, 0.01), 6).alias("match_weight"))
+    return linkage.compared_pairs(_editions(spark, d), *_COMPARED, linkage.pattern_weights(_MODEL, [1, 2, 2, 2], 0.01))
 
 
 @query("""

@@ -91,3 +91,35 @@ def test_lexical_search_sums_in_blocks(spark, monkeypatch):
     got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in found.collect()}
     assert "FlatMapCoGroupsInArrow" in plan(found)
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def manifest(spark, path):
+    """Files of few source systems, some ids twice; its frame, and its pairs with their levels by Spark's own functions."""
+    import random  # noqa: PLC0415
+
+    draw = random.Random(7)
+    pick = lambda *x: draw.choice(x)
+    names = [pick("a/b-", "a/c-", "a/b/c/d-", "7-", "є/b-") + str(draw.randrange(200)) for _ in range(260)] + [None]
+    names += names[:9]
+    rows = [(n, pick("x", "x", "y", None), pick("uk", "en", None), pick("1.0", "1.1", "11.0", "2", "01.1", "", None), pick(f"20{draw.randrange(10, 13)}-{draw.randrange(1, 13):02}-{draw.randrange(1, 29):02}", "2011", None)) for n in names]
+    spark.createDataFrame([*rows, ("alone", "z", "uk", "1", None)], "doc_id string, source_system string, language string, version string, effective_date string").write.parquet(str(path / "corpus_manifest.parquet"))
+    m = graph_queries._editions(spark, str(path))
+    a, b = (m.select("source_system", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "language", "version", "dt", "w")]) for x in "lr")
+    c = lambda n: (F.col(f"{n}_l"), F.col(f"{n}_r"))
+    same = [F.col("language_l") == F.col("language_r")]
+    return a.join(b, "source_system").where("doc_id_l < doc_id_r").select(
+        F.col("doc_id_l").alias("left_id"), F.col("doc_id_r").alias("right_id"), linkage.levels(*c("language"), same).alias("language"), linkage.edit_levels(*c("version"), [1]).alias("version"),
+        linkage.date_levels(*c("dt"), [30, 365]).alias("dated"), linkage.set_levels(*c("w"), [0.9], [0.7]).alias("name"),
+    )
+
+
+def test_replayed_weights_are_looked_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linkage, "SIDE", 16, raising=False)
+    want = manifest(spark, tmp_path).select("left_id", "right_id", F.round(linkage.match_weight(graph_queries._MODEL, 0.01), 6).alias("match_weight"))
+    found = graph_queries.replayed_linkage(spark, str(tmp_path))
+    assert "levenshtein" not in plan(found) and "array_intersect" not in plan(found)
+    assert found.rdd.getNumPartitions() > 20  # two source systems have nearly all
+    assert sorted(found.collect()) == sorted(want.collect()) and found.columns == want.columns
+    empty = tmp_path / "empty"
+    spark.read.parquet(str(tmp_path / "corpus_manifest.parquet")).limit(0).write.parquet(str(empty / "corpus_manifest.parquet"))
+    assert graph_queries.replayed_linkage(spark, str(empty)).collect() == []
