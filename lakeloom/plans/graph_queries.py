@@ -179,14 +179,7 @@ SELECT l AS left_id, r AS right_id, CASE WHEN la IS NULL OR lb IS NULL THEN -1 W
  CASE WHEN i >= 0.9 * (x + y - i) THEN 2 WHEN i >= 0.7 * least(x, y) THEN 1 ELSE 0 END AS name FROM q""")
 def agreement_levels(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of files of one source system, and how well their fields agree."""
-    m = _editions(spark, d)
-    a, b = (m.select("source_system", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "language", "version", "dt", "w")]) for x in "lr")
-    p = a.join(b, "source_system").where("doc_id_l < doc_id_r")
-    c = lambda n: (F.col(f"{n}_l"), F.col(f"{n}_r"))
-    return p.select(
-        F.col("doc_id_l").alias("left_id"), F.col("doc_id_r").alias("right_id"), linkage.levels(*c("language"), [c("language")[0] == c("language")[1]]).alias("language"), linkage.edit_levels(*c("version"), [1]).alias("version"),
-        linkage.date_levels(*c("dt"), [30, 365]).alias("dated"), linkage.set_levels(*c("w"), [0.9], [0.7]).alias("name"),
-    )
+    return linkage.compared_pairs(_editions(spark, d), *_COMPARED)
 
 
 _FIELDS = ["language", "version", "dated", "name"]

@@ -123,3 +123,14 @@ def test_replayed_weights_are_looked_up(spark, tmp_path, monkeypatch):
     empty = tmp_path / "empty"
     spark.read.parquet(str(tmp_path / "corpus_manifest.parquet")).limit(0).write.parquet(str(empty / "corpus_manifest.parquet"))
     assert graph_queries.replayed_linkage(spark, str(empty)).collect() == []
+
+
+def test_levels_of_a_large_block_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linkage, "SIDE", 16, raising=False)
+    monkeypatch.setattr(linkage, "BATCH", 50, raising=False)  # fewer pairs than a tile has, and no multiple of its side
+    want = manifest(spark, tmp_path)
+    found = graph_queries.agreement_levels(spark, str(tmp_path))
+    assert "levenshtein" not in plan(found) and found.rdd.getNumPartitions() > 20
+    per_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) > 10 and max(per_task) < sum(per_task) / 4
+    assert sorted(found.collect()) == sorted(want.collect()) and found.dtypes == want.dtypes
