@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ BATCH, BATCHES = 16, 8
 #: Bands and hashes in a band. Bands share hashes, so they miss more than independent ones would: a pair of agreement
 #: 0.739 (overlap 0.85 at equal size, the least there is) is missed with probability 0.04, one of overlap 0.88 with 0.006; see ``band_recall``.
 BANDS, BAND = 44, 8
+#: Keys are shuffled in so many rounds, each with its share of the bands, so that those of one round lie on disk at a time.
+ROUNDS = 2
 #: Texts under one key that are paired directly; larger groups are compared block by block.
 DIRECT, BLOCK = 128, 1024
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 62, BATCH * BATCHES, dtype=np.uint64) | np.uint64(1)
@@ -67,13 +69,13 @@ def signature(tokens: list[int]) -> np.ndarray:
     return signatures(np.array(tokens, np.int64), np.array([len(tokens)]))[0]
 
 
-def band_keys(sigs: np.ndarray) -> np.ndarray:
-    """Keys of the bands of signatures: one row for each signature, one column for each band."""
-    out = np.empty((len(sigs), BANDS), np.int64)
-    for k, pick in enumerate(_PICKS):
-        packed = np.ascontiguousarray(sigs[:, pick]).view("<u8")[:, 0]
+def band_keys(sigs: np.ndarray, bands: range = range(BANDS)) -> np.ndarray:
+    """Keys of these bands of signatures: one row for each signature, one column for each band."""
+    out = np.empty((len(sigs), len(bands)), np.int64)
+    for at, k in enumerate(bands):
+        packed = np.ascontiguousarray(sigs[:, _PICKS[k]]).view("<u8")[:, 0]
         mixed = (packed ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-        out[:, k] = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+        out[:, at] = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
     return out
 
 
@@ -146,15 +148,15 @@ def _binary(sigs: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(sigs.shape[1]), len(sigs), [None, pa.py_buffer(np.ascontiguousarray(sigs).tobytes())]).cast(pa.binary())
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
-    """``key, rep, n``: every class under each of its band keys."""
+def _keyed(classes: DataFrame, bands: range = range(BANDS)) -> DataFrame:
+    """``key, rep, n``: every class under each of its keys of these bands."""
     kind = classes.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = band_keys(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1))
-                each = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+                keys = band_keys(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1), bands)
+                each = pa.array(np.repeat(np.arange(b.num_rows), len(bands)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(each), b.column(1).take(each)], names=["key", "rep", "n"])
 
     return classes.select("rep", "n", "sig").mapInArrow(run, f"key bigint, rep {kind}, n int")
@@ -284,21 +286,22 @@ def near_duplicate_groups(df: DataFrame, id_column: str, text: str, share: float
     different ids are similar. Other columns are ignored. An empty table gives an empty one.
     """
     base = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = stage(_bags(base, min_words), "bags")
+    rows = stage(_bags(base, min_words), "bags", release=True)
     firsts = rows.groupBy("bag").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = stage(firsts, "classes")
-    found = stage(_pairs(_keyed(classes), share).distinct(), "pairs")
-    pairs = found.where("b is not null").select("a", "b")
+    classes = stage(firsts, "classes", release=True)
+    rounds = [stage(_pairs(_keyed(classes, range(BANDS)[k::ROUNDS]), share).distinct(), "pairs", release=True) for k in range(ROUNDS)]
+    found = reduce(DataFrame.union, rounds)
+    pairs = found.where("b is not null").select("a", "b").distinct()
     sig = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}"))
-    likely = stage(_likely(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb"), share, miss), "likely")
+    likely = stage(_likely(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb"), share, miss), "likely", release=True)
     # keys of many texts, as of a large family of restatements
     full = found.where("b is null").select("key", F.col("a").alias("rep"))
     crowded = full.join(full.groupBy("key").agg(F.count("*").alias("c")), "key")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).union(full.select("rep")).distinct()
-    texts = stage(base.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = stage(base.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts", release=True)
     text_of = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
     sure = _exact(likely.join(text_of("a"), "a").join(text_of("b"), "b").select("a", "b", "ta", "tb"), share)
-    links = stage(sure.union(_within_blocks(crowded, texts, share, miss)), "links")
+    links = stage(sure.union(_within_blocks(crowded, texts, share, miss)), "links", release=True)
     groups = connected_groups(links, "a", "b").select(F.col("id").alias("rep"), "group_id")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     reps = classes.select("bag", "rep", "last").join(groups, "rep", "left").join(degree, "rep", "left").where("rep <> last or group_id is not null")
